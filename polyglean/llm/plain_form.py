@@ -126,7 +126,12 @@ def _ranges(cps) -> str:
             out[-1][1] = cp
         else:
             out.append([cp, cp])
-    return "".join(_x(a) + (f"-{_x(b)}" if b > a else "") for a, b in out)
+    span = lambda a, b: _x(a) + (f"-{_x(b)}" if b > a else "")
+    if len(out) <= 24:
+        return "".join(span(a, b) for a, b in out)
+    # two levels: the ranges of a group are looked at only for characters between its ends
+    groups = [out[k : k + 16] for k in range(0, len(out), 16)]
+    return "".join(f"[{span(g[0][0], g[-1][1])}&&[{''.join(span(a, b) for a, b in g)}]]" for g in groups)
 
 
 def mapping_table(spark: SparkSession) -> DataFrame:
