@@ -55,3 +55,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is proven to have at most ``rows`` rows, else ``df`` for a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def split_join(big: DataFrame, side: DataFrame, keys: list[str], hot: str, limit: int) -> DataFrame:
+    """Inner join of ``big`` with ``side`` (unique on ``keys``) where few keys may hold most rows of ``big``.
+
+    ``hot`` is a predicate on ``side`` that at most ``limit`` keys can meet by its own arithmetic (e.g. a share of
+    the total above 1/limit). Those are joined by broadcast, so their rows never meet in one task; all others are
+    joined by shuffle.
+    """
+    often = F.broadcast(side.where(hot).limit(limit))
+    rest = side.where(f"NOT ({hot}) OR ({hot}) IS NULL")
+    return big.join(often, keys).unionByName(big.join(often.select(*keys), keys, "left_anti").join(rest, keys))
