@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from polyglean.llm.copy_ledger import ledger_of
+from polyglean.llm.language import detect, label_cases
+from polyglean.llm.leaks import leaks
+from polyglean.llm.mixture import Mixture
 from polyglean.llm.plain_form import look_alike_pairs, plain_form
 from polyglean.llm.tables import read, records
 from polyglean.llm.terms import distinctive_terms, term_bitmaps, term_frequencies, top_terms
@@ -30,6 +33,15 @@ def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
     return distinctive_terms(records(read(spark, sf, "corpus")))
 
 
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return label_cases(detect(records(read(spark, sf, "corpus"), "lang", "text")))
+
+
+def p3_stretches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every stretch of every record with its language, confidence and place."""
+    return detect(records(read(spark, sf, "corpus"), "lang", "text"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return ledger_of(read(spark, sf, "corpus")).copies()
 
@@ -53,7 +65,34 @@ def p5_frequencies(spark: SparkSession, sf: str) -> DataFrame:
     return _frequencies(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_plain, p2_found, p2_scores, p4_found, p4_ledger, p5_found, p5_frequencies)}
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark")).select("doc_id", "item_id")
+
+
+def _mixture(spark: SparkSession, sf: str) -> Mixture:
+    return Mixture(read(spark, sf, "documents"), read(spark, sf, "mix_target"))
+
+
+def p7_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf).shares()
+
+
+def p7_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixture(spark, sf).quota_table()
+
+
+def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixture itself: one row per use of a document."""
+    return _mixture(spark, sf).rows()
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_plain, p2_found, p2_scores, p3_found, p3_stretches, p4_found, p4_ledger, p5_found, p5_frequencies, p6_found,
+        p7_shares, p7_quotas, p7_mixture,
+    )
+}
 
 
 def queries() -> dict:
