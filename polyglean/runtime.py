@@ -67,3 +67,9 @@ def split_join(big: DataFrame, side: DataFrame, keys: list[str], hot: str, limit
     often = F.broadcast(side.where(hot).limit(limit))
     rest = side.where(f"NOT ({hot}) OR ({hot}) IS NULL")
     return big.join(often, keys).unionByName(big.join(often.select(*keys), keys, "left_anti").join(rest, keys))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for costly row-wise work on few or large files."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
