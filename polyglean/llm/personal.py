@@ -34,7 +34,7 @@ STREET_JOINED = r"straße|strasse|str|gasse|weg|platz|allee|ufer|damm|ring"
 
 _CAP = r"\p{Lu}[\p{L}\p{M}'’]*(?:-\p{Lu}[\p{L}\p{M}'’]*)*"
 _NAME = rf"(?:{_CAP}|[\p{{Deva}}]+(?:-[\p{{Deva}}]+)*)"
-_HOUSE = r"\d{1,5}(?:\s?[a-zA-Z](?![\p{L}\p{M}]))?(?:[-/]\d{1,4})?"
+_HOUSE = r"\d{1,5}(?:[a-zA-Z](?![\p{L}\p{M}]))?(?:[-/]\d{1,4})?"
 _NO = r"(?:(?:No|Nr|nº|n\.º|n°|N°|núm|मकान\s+नं|मकान\s+संख्या|नं)\.?\s*)"
 
 EMAIL = regex.compile(
@@ -159,11 +159,14 @@ def candidates(text: str) -> list[Segment]:
                 nxt = text[m.end() : m.end() + 1]
                 ends[m.end() - 1] = "dot-cut"
                 f = [*f, f"dot={t}", f"dotnext={nxt.isspace()}"]
+            if kind == "before":
+                for w in regex.finditer(r"\s", m.group("name")):
+                    ends[m.start("name") + w.start()] = "name-cut"
             if regex.match(r"[-/]?\d", text[m.end() : m.end() + 2]) or text[m.start() - 1 : m.start()].isdigit() or regex.match(r"[\d][-/.,]", text[max(0, m.start() - 2) : m.start()]):
                 f.append("inside-number")
             for a, x in starts.items():
                 for b, y in ends.items():
-                    out.append((a, b, "addr", [*f, f"x={x}", f"y={y}{t if y != 'all' else ''}"]))
+                    out.append((a, b, "addr", [*f, f"x={x}", f"y={y}{t if y == 'dot-cut' else ''}"]))
     for m in NAME_RUN.finditer(text):
         toks = [(m.start() + t.start(), m.start() + t.end()) for t in NAME_TOKEN.finditer(m.group())]
         kinds = [_name_kind(text[a:b]) for a, b in toks]

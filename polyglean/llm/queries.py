@@ -8,6 +8,7 @@ from polyglean.llm.copy_ledger import ledger_of
 from polyglean.llm.language import detect, label_cases
 from polyglean.llm.leaks import leaks
 from polyglean.llm.mixture import Mixture
+from polyglean.llm.personal import distinct_pieces, personal, redact
 from polyglean.llm.plain_form import look_alike_pairs, plain_form
 from polyglean.llm.tables import read, records
 from polyglean.llm.terms import distinctive_terms, term_bitmaps, term_frequencies, top_terms
@@ -86,11 +87,20 @@ def p7_mixture(spark: SparkSession, sf: str) -> DataFrame:
     return _mixture(spark, sf).rows()
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return distinct_pieces(personal(read(spark, sf, "documents")))
+
+
+def p8_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document with placeholders for its pieces."""
+    return redact(read(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p1_found, p1_plain, p2_found, p2_scores, p3_found, p3_stretches, p4_found, p4_ledger, p5_found, p5_frequencies, p6_found,
-        p7_shares, p7_quotas, p7_mixture,
+        p7_shares, p7_quotas, p7_mixture, p8_found, p8_redacted,
     )
 }
 
