@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -73,3 +75,20 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores, for costly row-wise work on few or large files."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores * 2) if df.rdd.getNumPartitions() < cores else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, so that Python workers can import it anywhere."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="polyglean-")) / "polyglean_package.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in root.rglob("*.py"):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
+    _shipped.add(app)
