@@ -7,12 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from polyglean.functions.text import full_content, snippet, tokenize
+from polyglean.runtime import materialize
 from polyglean.sources.tables import numeric_order
 
-#: Documents a written vocabulary or posting table is range-partitioned for.
-PER_PARTITION = 5_000_000
-
-
 @dataclass(frozen=True)
 class Index:
     documents: DataFrame  # doc_id, title, lang, text, doc_length
@@ -65,6 +62,17 @@ def load(spark, path: str) -> Index:
     return Index(docs, postings, vocab, docs.count())
 
 
+def written(index: Index) -> Index:
+    """The index as tables in the shared folder, postings and vocabulary sorted by term; for use in several steps."""
+    by_term = lambda df: df.repartitionByRange("term").sortWithinPartitions("term")
+    return Index(
+        materialize(index.documents, "documents"),
+        materialize(by_term(index.postings), "postings"),
+        materialize(by_term(index.vocab), "vocab"),
+        index.total,
+    )
+
+
 def add_documents(docs: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert: a document replaces the one of the same id."""
     return docs.join(new, "doc_id", "left_anti").unionByName(new.select(*docs.columns))

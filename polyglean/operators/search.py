@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from polyglean.functions.text import highlight, highlight_pattern, scripts, snippet, tokenize
 from polyglean.operators import fuzzy, meaning as mg, rank, synonyms as syn
 from polyglean.operators.index import Index
+from polyglean.runtime import materialize
 from polyglean.sources.tables import numeric_order
 
 
@@ -61,15 +62,17 @@ def weigh(queries: DataFrame, index: Index, graphs: Graphs, fuzzy_on: bool = Tru
     terms = query_terms(queries)
     words = graphs.words if graphs.words is not None else queries.sparkSession.createDataFrame([], "word STRING, label STRING")
     known = graphs.known if meaning_on else None
-    resolved = fuzzy.resolve(terms, index.vocab, words, known, fuzzy_on)
+    # each stage is used more than once below: it is written once instead of being planned again and again
+    resolved = materialize(fuzzy.resolve(terms, index.vocab, words, known, fuzzy_on), "resolved")
     means = None
     if meaning_on and graphs.links is not None:
-        means = mg.expand_queries(resolved.select("query_id", "qpos", "term"), graphs.links, index.vocab, graphs.overlay)
+        means = materialize(mg.expand_queries(resolved.select("query_id", "qpos", "term"), graphs.links, index.vocab, graphs.overlay), "meanings")
     near = None
     if synonyms_on and graphs.words is not None:
         reach = syn.closure(resolved.select(F.col("term").alias("word")), words)
         near = resolved.select("query_id", F.col("term").alias("word")).distinct().join(reach, "word").select("query_id", F.col("synonym").alias("term"))
-    return resolved, rank.term_weights(resolved.select("query_id", "qpos", "term"), index.vocab, means, near), means
+    weighted = rank.term_weights(resolved.select("query_id", "qpos", "term"), index.vocab, means, near)
+    return resolved, materialize(weighted, "weighted"), means
 
 
 def search_batch(queries: DataFrame, index: Index, graphs: Graphs, lang: str = "all", limit: int = 15, fuzzy_on: bool = True, synonyms_on: bool = True, meaning_on: bool = True) -> DataFrame:
@@ -120,8 +123,7 @@ def search(spark: SparkSession, index: Index, query: Query, graphs: Graphs = Gra
         seeds = spark.createDataFrame([(w,) for w in sorted(marks)], "word STRING")
         marks |= {r["synonym"] for r in syn.closure(seeds, graphs.words).collect()}
     pattern = highlight_pattern(sorted(marks))
-    fixed = spark.createDataFrame(weights, weighted.schema) if weights else weighted
-    top = rank.ranked(rank.scores_with_breakdown(fixed, index), index.documents, query.lang, query.limit)
+    top = rank.ranked(rank.scores_with_breakdown(weighted, index), index.documents, query.lang, query.limit)
     texts = index.documents.select("doc_id", "title", "text", "doc_length")
     chain = F.create_map(*[F.lit(x) for t, p in paths.items() for x in (t, " → ".join(p))]) if paths else None
     by = lambda via: rank.attribution(F.col("breakdown"), via)

@@ -10,6 +10,7 @@ from polyglean.functions import distance as dist, text as tx
 from polyglean.functions.words import FUNCTION_WORDS
 from polyglean.operators import cache, fuzzy, index as ix, meaning as mg, prefix as px, rank, search as se, synonyms as syn
 from polyglean.plans import oracle as o
+from polyglean.runtime import materialize
 from polyglean.sources.tables import documents, latest_lookups, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +40,10 @@ def _index(s: SparkSession, d: str) -> ix.Index:
     return ix.build(_docs(s, d))
 
 
+def _written(s: SparkSession, d: str) -> ix.Index:
+    return ix.written(_index(s, d))
+
+
 def _queries(s: SparkSession, rows=SEARCHES) -> DataFrame:
     return s.createDataFrame(rows, "query_id INT, q STRING")
 
@@ -48,7 +53,7 @@ def _weighted(s: SparkSession, rows=SEARCHES) -> DataFrame:
     return t.select("query_id", "qpos", F.col("raw").alias("term"), F.lit(1.0).alias("weight"), F.lit("exact").alias("via"))
 
 
-_Q = f"SELECT query_id, unnest(tokens) AS term, 1.0 AS weight FROM (SELECT query_id, {o.tok('q')} AS tokens FROM {o.values([(i, q.replace(chr(39), chr(39) * 2)) for i, q in SEARCHES])} AS t(query_id, q))"
+_Q = f"SELECT query_id, unnest(tokens) AS term, CAST(1 AS DOUBLE) AS weight FROM (SELECT query_id, {o.tok('q')} AS tokens FROM {o.values([(i, q.replace(chr(39), chr(39) * 2)) for i, q in SEARCHES])} AS t(query_id, q))"
 
 
 # ---- text ----
@@ -186,7 +191,7 @@ def trie_stats(s, d):
  opn AS (SELECT p.prefix, count(*) FILTER (matches < 60 OR node <= last) AS opened, max(CASE WHEN matches >= 60 AND substring(node, 1, length(node) - 1) = last THEN 1 ELSE 0 END) AS more FROM p JOIN hit USING (prefix) JOIN nodes ON starts_with(node, p.prefix) AND length(node) > length(p.prefix) GROUP BY p.prefix)
  SELECT prefix, coalesce(matches, 0) AS matches, CASE WHEN coalesce(followed, 0) = length(prefix) THEN 1 + length(prefix) + coalesce(opened, 0) + coalesce(more, 0) ELSE 1 + coalesce(followed, 0) END AS nodes_visited FROM p LEFT JOIN hit USING (prefix) LEFT JOIN fol USING (prefix) LEFT JOIN opn USING (prefix)""")
 def prefix_nodes_visited(s, d):
-    return px.nodes_visited(_index(s, d).vocab, PREFIXES)
+    return px.nodes_visited(_written(s, d).vocab, PREFIXES)
 
 
 @query(f"""{o.BASE}, nodes AS (SELECT node, max(length(term) = length(node)) AS is_end FROM (SELECT term, substring(term, 1, CAST(k AS INT)) AS node FROM (SELECT term, unnest(range(1, length(term) + 1)) AS k FROM vocab WHERE starts_with(term, 're'))) GROUP BY node),
@@ -208,7 +213,7 @@ _CLOSE = f"""{o.BASE}, asked AS (SELECT DISTINCT typo AS word, CASE WHEN length(
 
 
 def _ascii_vocab(s, d):
-    return _index(s, d).vocab.where("term RLIKE '^[a-z]+$'")
+    return materialize(_index(s, d).vocab, "vocab").where("term RLIKE '^[a-z]+$'")
 
 
 def _ascii_typos(s, d):
@@ -243,28 +248,28 @@ def query_resolution(s, d):
 # ---- ranking ----
 @query(f"{o.BASE} {o.ranked(_Q)}")
 def search_batch(s, d):
-    i = _index(s, d)
+    i = _written(s, d)
     top = rank.ranked(rank.scores(_weighted(s), i), i.documents)
     return top.select("query_id", "rank", "doc_id", "lang", F.round("score", 4).alias("score"), "relative_score_pct")
 
 
 @query(f"{o.BASE} {o.ranked(_Q, 'fr', 5)}")
 def search_lang_filtered(s, d):
-    i = _index(s, d)
+    i = _written(s, d)
     top = rank.ranked(rank.scores(_weighted(s), i), i.documents, "fr", 5)
     return top.select("query_id", "rank", "doc_id", "lang", F.round("score", 4).alias("score"), "relative_score_pct")
 
 
 @query(f"{o.BASE} {o.ranked(_Q, 'all', 0)}")
 def limit_zero(s, d):
-    i = _index(s, d)
+    i = _written(s, d)
     top = rank.ranked(rank.scores(_weighted(s), i), i.documents, limit=0)
     return top.select("query_id", "rank", "doc_id", "lang", F.round("score", 4).alias("score"), "relative_score_pct")
 
 
 @query(f"{o.BASE}, w AS ({_Q}) SELECT query_id, doc_id, term, tf, round({o.IDF}, 4) AS idf, weight, round(tf * ({o.IDF}) * weight, 4) AS contribution FROM w JOIN postings USING (term) JOIN vocab USING (term)")
 def search_breakdown(s, d):
-    rows = rank.scores_with_breakdown(_weighted(s), _index(s, d)).select("query_id", "doc_id", F.explode("breakdown").alias("b"))
+    rows = rank.scores_with_breakdown(_weighted(s), _written(s, d)).select("query_id", "doc_id", F.explode("breakdown").alias("b"))
     return rows.select("query_id", "doc_id", "b.term", "b.tf", "b.idf", "b.weight", "b.contribution")
 
 
@@ -297,13 +302,13 @@ def cluster_heads(s, d):
 
 
 _SYN = f"""w0 AS ({_Q}), near_q AS (SELECT DISTINCT query_id, y AS term FROM (SELECT DISTINCT query_id, term FROM w0) JOIN reach ON x = term WHERE y <> term)"""
-_SYNW = "SELECT * FROM w0 UNION ALL SELECT query_id, term, 0.85 FROM near_q WHERE term IN (SELECT term FROM vocab) AND (query_id, term) NOT IN (SELECT query_id, term FROM w0)"
+_SYNW = "SELECT * FROM w0 UNION ALL SELECT query_id, term, CAST(0.85 AS DOUBLE) FROM near_q WHERE term IN (SELECT term FROM vocab) AND (query_id, term) NOT IN (SELECT query_id, term FROM w0)"
 
 
 @query(f"{o.BASE}, {o.CLOSURE}, {_SYN} {o.ranked(_SYNW)}")
 def synonym_weighted_search(s, d):
     c = syn.word_components(table(s, d, "synonym_cluster"))
-    return se.search_batch(_queries(s), _index(s, d), se.Graphs(words=c), fuzzy_on=False, meaning_on=False)
+    return se.search_batch(_queries(s), _written(s, d), se.Graphs(words=c), fuzzy_on=False, meaning_on=False)
 
 
 # ---- meaning ----
@@ -323,14 +328,14 @@ def meaning_expand(s, d):
     return mg.expand(seeds, mg.merge_links(table(s, d, "links"))).select("seed", "node", "cost")
 
 
-_MEANW = """SELECT * FROM w0 UNION ALL SELECT query_id, term, CASE cost WHEN 0 THEN 0.95 WHEN 1 THEN 0.80 ELSE 0.65 END FROM
+_MEANW = """SELECT * FROM w0 UNION ALL SELECT query_id, term, CAST(CASE cost WHEN 0 THEN 0.95 WHEN 1 THEN 0.80 ELSE 0.65 END AS DOUBLE) FROM
  (SELECT query_id, node AS term, min(cost) AS cost FROM w0 JOIN reached ON seed = w0.term WHERE (query_id, node) NOT IN (SELECT query_id, term FROM w0) GROUP BY query_id, node) WHERE term IN (SELECT term FROM vocab)"""
 
 
 @query(f"{o.BASE}, w0 AS ({_Q}), {o.expansion('SELECT DISTINCT term AS seed FROM w0')} {o.ranked(_MEANW)}")
 def meaning_weighted_search(s, d):
     links = mg.merge_links(table(s, d, "links"))
-    return se.search_batch(_queries(s), _index(s, d), se.Graphs(links=links), fuzzy_on=False, synonyms_on=False)
+    return se.search_batch(_queries(s), _written(s, d), se.Graphs(links=links), fuzzy_on=False, synonyms_on=False)
 
 
 @query(f"""{o.BASE}, c AS (SELECT DISTINCT doc_id, term FROM occ WHERE term NOT IN ({o.FW}) AND regexp_full_match(term, '[\\p{{L}}\\p{{M}}\\p{{Cf}}\\-''’]+')
@@ -394,4 +399,4 @@ def full_search(s, d):
     """One search with everything on: typo correction, meanings, synonyms, breakdown and highlighting."""
     known = latest_lookups(table(s, d, "dictionary")).where("found").select("term")
     graphs = se.Graphs(syn.word_components(table(s, d, "synonym_cluster")), mg.merge_links(table(s, d, "links")), known)
-    return se.search(s, _index(s, d), se.Query("coffe recipe"), graphs).rows
+    return se.search(s, _written(s, d), se.Query("coffe recipe"), graphs).rows
