@@ -139,5 +139,5 @@ class Mixture:
         return out.select(
             "source", "target_share", "max_repeats", "available_tokens", "quota_blocks", used.alias("used_tokens"),
             F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("repeats", F.lit(0)).alias("repeats"),
-            F.coalesce(used / total, F.lit(0.0)).alias("actual_share"),
+            F.when(total > 0, used / total).otherwise(0.0).alias("actual_share"),
         )
