@@ -33,7 +33,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 def build_postings(docs: DataFrame) -> DataFrame:
     """(term, doc_id, tf, pos): uses per document and the first place; aggregated map-side before the shuffle."""
-    return occurrences(docs).groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
+    return _count(occurrences(docs))
+
+
+def _count(places: DataFrame) -> DataFrame:
+    return places.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.min("pos").alias("pos"))
 
 
 def build_vocab(postings: DataFrame) -> DataFrame:
@@ -62,15 +66,16 @@ def load(spark, path: str) -> Index:
     return Index(docs, postings, vocab, docs.count())
 
 
-def written(index: Index) -> Index:
-    """The index as tables in the shared folder, postings and vocabulary sorted by term; for use in several steps."""
-    by_term = lambda df: df.repartitionByRange("term").sortWithinPartitions("term")
-    return Index(
-        materialize(index.documents, "documents"),
-        materialize(by_term(index.postings), "postings"),
-        materialize(by_term(index.vocab), "vocab"),
-        index.total,
-    )
+def written(docs: DataFrame) -> Index:
+    """The index of ``docs`` as tables in the shared folder, for use in several steps: texts are tokenized once.
+
+    For lookups of single terms over a large collection ``save`` also sorts by term.
+    """
+    tokens = materialize(tokenized(docs), "tokens")
+    places = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+    postings = materialize(_count(places), "postings")
+    documents = tokens.withColumn("doc_length", F.size("tokens")).drop("tokens")
+    return Index(documents, postings, materialize(build_vocab(postings), "vocab"), tokens.count())
 
 
 def add_documents(docs: DataFrame, new: DataFrame) -> DataFrame:

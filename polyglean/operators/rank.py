@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from polyglean.operators.index import Index, idf
-from polyglean.runtime import small
+from polyglean.runtime import materialize, small
 from polyglean.sources.tables import numeric_order
 
 # Ranking weights of meaning terms by path cost, and of curated synonyms.
@@ -86,6 +86,7 @@ def ranked(scored: DataFrame, documents: DataFrame, lang: str = "all", limit: in
 
     The best score of a query is an aggregate over all languages, taken before the filter.
     """
+    scored = materialize(scored, "scored")  # read for the best score and for the rows
     best = scored.groupBy("query_id").agg(F.max("score").alias("best"))
     # only id and lang take part before the cut; texts are joined to the rows that stay
     rows = scored.join(documents.select("doc_id", "lang"), "doc_id")

@@ -41,7 +41,7 @@ def _index(s: SparkSession, d: str) -> ix.Index:
 
 
 def _written(s: SparkSession, d: str) -> ix.Index:
-    return ix.written(_index(s, d))
+    return ix.written(_docs(s, d))
 
 
 def _queries(s: SparkSession, rows=SEARCHES) -> DataFrame:

@@ -16,7 +16,7 @@ SCHEMA = "doc_id string, title string, lang string, text string"
 
 @pytest.fixture(scope="module")
 def index(spark):
-    return ix.written(ix.build(spark.createDataFrame(DOCS, SCHEMA)))
+    return ix.written(spark.createDataFrame(DOCS, SCHEMA))
 
 
 def ask(spark, index, q, lang="all", limit=15):
