@@ -251,18 +251,25 @@ def plain_form(df: DataFrame, key: str, *cols: str) -> DataFrame:
 def look_alike_pairs(records: DataFrame) -> DataFrame:
     """(id_a, id_b): records of equal plain title and text whose stored title or text differ; NULL counts as empty.
 
-    Classes with a single stored form (exact copies) are dropped after a pre-aggregated count of their forms, before
-    any pair is made; pairs are made between different stored forms only.
+    Records are grouped by stored form first (counted map-side). Only different forms of one class are paired, each
+    pair of forms once, and then replaced by their records: every row made is a row of the result, so a class of exact
+    copies of any size costs nothing. The form with fewer records is expanded first; the join with the larger one is
+    on the form, whose skewed partitions the adaptive join splits. A record without a numeric id has none to report
+    and is in no pair.
     """
     e = lambda c: F.coalesce(c, F.lit(""))
-    forms = plain_form(records, "id", "title", "text").select(
+    forms = plain_form(records.where("id IS NOT NULL"), "id", "title", "text").select(
         "id",
         F.sha2(F.to_json(F.struct(e("plain_title").alias("a"), e("plain_text").alias("b"))), 256).alias("class"),
         F.sha2(F.to_json(F.struct(e("title").alias("a"), e("text").alias("b"))), 256).alias("form"),
     )
     forms = materialize(forms, "forms")
-    classes = forms.groupBy("class").agg(F.min("form").alias("lo"), F.max("form").alias("hi")).where("lo <> hi")
-    kept = forms.join(classes.select("class"), "class")
-    a = kept.select("class", F.col("id").alias("id_a"), F.col("form").alias("form_a"))
-    b = kept.select("class", F.col("id").alias("id_b"), F.col("form").alias("form_b"))
-    return a.join(b, "class").where("form_a <> form_b AND id_a < id_b").select("id_a", "id_b")
+    counts = forms.groupBy("class", "form").agg(F.count(F.lit(1)).alias("n"))
+    several = counts.groupBy("class").agg(F.count(F.lit(1)).alias("forms")).where("forms > 1").select("class")
+    own = counts.join(several, "class", "left_semi")
+    few = own.select("class", F.col("form").alias("form_1"), F.struct("n", "form").alias("o_1"))
+    many = own.select("class", F.col("form").alias("form_2"), F.struct("n", "form").alias("o_2"))
+    pairs = few.join(many, "class").where("o_1 < o_2").select("form_1", "form_2")
+    one = pairs.join(forms.select(F.col("form").alias("form_1"), F.col("id").alias("id_1")), "form_1")
+    both = one.join(forms.select(F.col("form").alias("form_2"), F.col("id").alias("id_2")), "form_2")
+    return both.select(F.least("id_1", "id_2").alias("id_a"), F.greatest("id_1", "id_2").alias("id_b"))

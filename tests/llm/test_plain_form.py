@@ -83,7 +83,7 @@ def test_every_character(spark):
 
 
 def test_pairs(spark):
-    rows = [(1, "é", "x"), (2, "é", "x"), (3, "é", "x"), (4, None, "x"), (5, "", "x"), (6, "é ", "x"), (7, "é", "y")]
+    rows = [(1, "é", "x"), (2, "é", "x"), (3, "é", "x"), (4, None, "x"), (5, "", "x"), (6, "é ", "x"), (7, "é", "y"), (None, "e\u0301", "x")]
     got = {tuple(r) for r in look_alike_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, 2), (2, 3)}
     assert look_alike_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
