@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from polyglean.functions.text import clean_html, is_cjk, normalize_link, title_variants, tokenize
+from polyglean.functions.words import FUNCTION_WORDS, METAPHORS
 
 # Supported languages, words that only describe grammar, limits.
 LANGUAGES = {
@@ -31,11 +32,15 @@ MAX_SYNONYMS = 8
 MAX_DEFINITIONS = 4
 MAX_SENSES = 2
 
+#: Words never linked, unless a caller passes a list of its own: longer stop lists are a parameter.
+BLOCKED = [*FUNCTION_WORDS, *GRAMMAR, *METAPHORS]
+
 _STRIP = r"^[\s ]+|[\s ]+$"
 
 
 def acceptable(term: Column, word: Column, blocked: list[str] | None = None) -> Column:
-    """One token that is neither the headword nor blocked; ``blocked`` holds stop words and words never linked."""
+    """One token that is neither the headword nor a word of ``blocked`` (by default ``BLOCKED``)."""
+    blocked = BLOCKED if blocked is None else blocked
     ok = (term != "") & ~term.rlike(r"[ :{]") & (term != word) & ((F.length(term) > 1) | is_cjk(term))
     return ok & ~term.isin(blocked) if blocked else ok
 

@@ -43,7 +43,7 @@ def test_records(spark):
         [
             ("kittens", "en", "ok", 0, "en", "English", "Noun", ["plural of <i>kitten</i>"]),
             ("pomme", "en", "ok", 0, "fr", "French", "Verb", ["inflection of pommer: third-person"]),
-            ("pomme", "en", "ok", 1, "fr", "French", "Noun", ["apple (fruit)", "apple tree", "knob"]),
+            ("pomme", "en", "ok", 1, "fr", "French", "Noun", ["apple (fruit)", "apple tree", "breasts"]),
             ("Apfel", "en", "ok", 0, "de", "German", "Noun", ["apple, fruit"]),
             ("apfel", "en", "ok", 0, "gmh", "Middle High German", "Noun", ["apple"]),
             ("lost", "en", "error", 0, None, None, None, None),
