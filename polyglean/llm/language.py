@@ -137,6 +137,8 @@ class Model:
         if known and total <= SHORT and label in NAMES:
             k = CODES.index(NAMES[label])
             scores[scores.any(1)] += np.where(np.arange(len(CODES)) == k, 0.0, -PRIOR)
+            top = scores.max(1, keepdims=True)
+            scores -= np.where(scores.any(1, keepdims=True), top + np.log(np.exp(scores - top).sum(1, keepdims=True)), 0.0)
         if not known:
             return [(0, len(text), "und", 0.0)]
         best, back = scores[0], []
