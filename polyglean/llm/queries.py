@@ -8,6 +8,7 @@ from polyglean.llm.copy_ledger import ledger_of
 from polyglean.llm.language import detect, label_cases
 from polyglean.llm.leaks import leaks
 from polyglean.llm.mixture import Mixture
+from polyglean.llm.oracle import SQL
 from polyglean.llm.personal import distinct_pieces, personal, redact
 from polyglean.llm.plain_form import look_alike_pairs, plain_form
 from polyglean.llm.tables import read, records
@@ -110,4 +111,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
