@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from polyglean.llm.plain_form import plain_form
-from polyglean.runtime import spread
+from polyglean.runtime import materialize, spread
 
 # The languages with their three-letter codes and English names.
 LANGUAGES = {
@@ -244,6 +244,7 @@ def detect(records: DataFrame, rows: int = ROWS) -> DataFrame:
     """(id, lang, seg, seg_lang, confidence, begin, end): the stretches of each record's text in plain form."""
     spark = records.sparkSession
     plain = plain_form(records.select("id", "lang", "text"), "id", "text").select("id", "lang", "plain_text")
+    plain = materialize(plain, "plain")  # read for the sample and for the records
     model = spark.sparkContext.broadcast(train(sample(plain, rows)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
