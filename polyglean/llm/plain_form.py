@@ -110,9 +110,13 @@ def mapping() -> tuple[list, str]:
             nonstarters.append(cp)
     changed += [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)]  # conjoining jamo: no list of bases needed
     comp = {b: firsts for b, firsts in comp.items() if not 0x1161 <= ord(b) <= 0x11C2}
-    pairs = "|".join(f"(?<=[{_ranges(map(ord, firsts))}]){_x(ord(b))}" for b, firsts in sorted(comp.items()))
-    seconds = _ranges(map(ord, comp))
-    return rows, f"[{_ranges(changed)}]|(?=[{seconds}])(?:{pairs})|[{_ranges(nonstarters)}]{{2}}"
+    pairs = "|".join(f"(?<=[{_ranges(map(ord, firsts))}]{_x(ord(b))})" for b, firsts in sorted(comp.items()) if b <= "\uffff")
+    # one class finds the few characters that matter; what decides is looked up behind it. Look-behind sees UTF-16
+    # units: a character beyond the first plane ends in a low surrogate and is always looked at
+    special = _ranges({*changed, *map(ord, comp), *nonstarters})
+    seconds, marks = _ranges(map(ord, comp)), _ranges(nonstarters)
+    behind = f"(?<=[\\x{{dc00}}-\\x{{dfff}}{_ranges(c for c in changed if c <= 0xFFFF)}])|(?<=[{marks}][{marks}])|(?<=[{seconds}])(?:{pairs})"
+    return rows, f"[\\x{{80}}-\\x{{10ffff}}&&[{special}]](?:{behind})"
 
 
 def _x(cp: int) -> str:
