@@ -147,13 +147,15 @@ def touched(text: Column) -> Column:
     return F.coalesce(~text.rlike(r"\A[\x00-\x7f]*\z") & text.rlike(mapping()[1]), F.lit(False))
 
 
-def _units(field: int, text: Column) -> Column:
+def _units(field: int, text: Column, row: T.StructType) -> Column:
     """Pieces of a text in order: whole blank-separated pieces that stay, single code points of those that may change.
 
-    The blank after a piece is its own unit; an empty last unit carries the text through if all else is dropped.
+    The blank after a piece is its own unit; an empty last unit carries the text through if all else is dropped. Units
+    have a place for the record's other columns, which stays NULL here.
     """
-    none = F.lit(-1)
-    unit = lambda i, j, u: F.struct(F.lit(field).alias("f"), i.alias("i"), j.alias("j"), u.alias("u"))
+    none, nothing = F.lit(-1), F.lit(None).cast(row)
+    unit = lambda i, j, u: F.struct(F.lit(field).alias("f"), i.alias("i"), j.alias("j"), u.alias("u"), nothing.alias("row"))
+    empty = F.array().cast(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in "fij"] + [T.StructField("u", T.StringType()), T.StructField("row", row)])))
 
     def piece(w: Column, i: Column) -> Column:
         points = F.transform(F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0)), lambda c, j: unit(i, j, c))
@@ -162,7 +164,7 @@ def _units(field: int, text: Column) -> Column:
 
     pieces = F.flatten(F.transform(F.split(text, " ", -1), piece))
     end = F.array(unit(F.lit(2**31 - 1), F.lit(0), F.lit("")))
-    return F.when(text.isNull(), F.array().cast("array<struct<f:int,i:int,j:int,u:string>>")).otherwise(
+    return F.when(text.isNull(), empty).otherwise(
         F.concat(F.when(touched(text), pieces).otherwise(F.array(unit(F.lit(0), F.lit(0), text))), end)
     )
 
@@ -198,15 +200,14 @@ def plain_form(df: DataFrame, key: str, *cols: str) -> DataFrame:
     rest = df.where(~any_touched).select("*", *[F.col(c).alias(f"plain_{c}") for c in cols])
     some = df.where(any_touched)
 
-    units = F.concat(*[_units(k, F.col(c)) for k, c in enumerate(cols)])
-    m = F.broadcast(mapping_table(spark))
     others = [c for c in df.columns if c != key]
-    # the other columns travel once per row, on the unit that ends the first field
-    points = (
-        some.select(F.col(key).alias("k"), F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("row"), F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("f"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit("").alias("u"))), units)).alias("x"))
-        .select("k", F.when(F.col("x.f") == -1, F.col("row")).alias("row"), "x.*")
-        .join(m, "u", "left")
-    )
+    kind = T.StructType([T.StructField(f"c{i}", df.schema[c].dataType) for i, c in enumerate(others)])
+    # the other columns travel once per record, on a unit of their own: they are never copied along with the others
+    row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).cast(kind)
+    carrier = F.array(F.struct(F.lit(-1).alias("f"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit("").alias("u"), row.alias("row")))
+    units = F.concat(carrier, *[_units(k, F.col(c), kind) for k, c in enumerate(cols)])
+    m = F.broadcast(mapping_table(spark))
+    points = some.select(F.col(key).alias("k"), F.explode(units).alias("x")).select("k", "x.*").join(m, "u", "left")
     own = F.array(F.struct(F.col("u").alias("ch"), F.lit(0).alias("ccc"), F.lit(False).alias("second"), F.lit(None).cast("string").alias("look"), F.lit(None).cast("map<string,string>").alias("comp")))
     points = points.select("k", "row", "f", "i", "j", F.posexplode(F.coalesce("parts", own)).alias("sub", "p")).select(
         "k", "row", "f", "i", "j", "sub", "p.*"
