@@ -14,6 +14,7 @@ one, so repeated rows, ties and long texts need no special care; a text's stretc
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -53,10 +54,8 @@ SWITCH_END, SWITCH_INSIDE = 1.5, 4.0
 SHORT, PRIOR = 5, 4.0
 
 WORD = regex.compile(r"[\p{L}\p{M}]+")
-PIECE = regex.compile(r".+?(?:[.!?।॥؟۔]+[\p{Pf}\p{Pe}\"'”»]*(?=\s|$)|[。！？]+[\p{Pf}\p{Pe}\"']*|\n\s*\n|\s[—/|]\s|$)", regex.S)
-END = regex.compile(r"[.!?।॥؟۔。！？]\W*$|\n\s*\n$|\s[—/|]\s$")
+CUT = regex.compile(r"[.!?।॥؟۔]+[\p{Pf}\p{Pe}\"'”»]*(?=\s|$)|[。！？]+[\p{Pf}\p{Pe}\"']*|\n\s*\n|\s[—/|]\s")
 OF_SCRIPT = {n: regex.compile(rf"\p{{{n}}}") for n in SCRIPTS}
-OTHER = regex.compile(r"\p{L}")
 HAN = regex.compile(r"[一-鿿]")
 
 
@@ -76,48 +75,77 @@ def features(word: str) -> list[int]:
 
 
 def pieces(text: str) -> list[tuple[int, int, bool]]:
-    """(begin, end, ends a sentence) of the parts of a text, in order, without gaps."""
-    return [(m.start(), m.end(), END.search(m.group()) is not None) for m in PIECE.finditer(text) if m.end() > m.start()]
+    """(begin, end, is followed by a strong cut) of the parts of a text, in order, without gaps."""
+    out, at = [], 0
+    for m in CUT.finditer(text):
+        if m.start() > at:  # a cut at the start of a part belongs to it
+            out.append((at, m.end(), True))
+            at = m.end()
+    if at < len(text):
+        out.append((at, len(text), False))
+    return out
 
 
-def script_mask(text: str) -> np.ndarray:
-    """True for the languages written in the script most letters of the text have; all False for another script."""
-    counts = {n: len(p.findall(text)) for n, p in OF_SCRIPT.items()}
-    top = max(counts, key=counts.get)
-    if counts[top] * 2 < len(OTHER.findall(text)):
-        return np.zeros(len(CODES), bool)
-    return np.isin(CODES, SCRIPTS[top].split()) & (counts[top] > 0)
+@cache
+def _script(ch: str) -> str | None:
+    """Script of a letter or mark; '' for letters of other scripts, None for all else."""
+    for n, p in OF_SCRIPT.items():
+        if p.match(ch):
+            return n
+    return "" if ch.isalpha() else None
+
+
+_MASKS = {n: np.isin(CODES, ls.split()) for n, ls in SCRIPTS.items()}
+_ALONE = {n: CODES.index(ls) for n, ls in SCRIPTS.items() if len(ls) == 2}
+
+
+def main_script(text: str) -> str:
+    """The script that at least half of all letters and marks are in; '' if there is none or no language uses it."""
+    counts: dict[str, int] = {}
+    for ch in text:
+        if (n := _script(ch)) is not None:
+            counts[n] = counts.get(n, 0) + 1
+    top = max(counts, key=counts.get, default="")
+    return top if top and counts[top] * 2 >= sum(counts.values()) else ""
 
 
 class Model:
     def __init__(self, emb: np.ndarray, out: np.ndarray, bias: np.ndarray):
         self.emb, self.out, self.bias = emb, out, bias
         self.temperature, self.threshold = 1.0, 0.5
-        self._words: dict[str, tuple[np.ndarray, int]] = {}
-
-    def _word(self, w: str) -> tuple[np.ndarray, int]:
-        if (v := self._words.get(w)) is None:
+        self._rows: dict[str, int] = {}  # word -> row of the two arrays below
+        self._sums, self._sizes = np.zeros((1024, DIM), np.float32), np.zeros(1024, np.int32)
+
+    def _row(self, w: str) -> int:
+        if (k := self._rows.get(w)) is None:
+            k = len(self._rows)
+            if k == len(self._sizes):
+                self._sums = np.concatenate([self._sums, np.zeros_like(self._sums)])
+                self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)])
             f = features(w)
-            v = (self.emb[f].sum(0), len(f))
-            if len(self._words) < 300_000:
-                self._words[w] = v
-        return v
-
-    def logits(self, text: str) -> tuple[np.ndarray | None, int]:
-        """Logits of a piece and its number of words (a Chinese character counts as half a word)."""
-        total, n, words = 0.0, 0, 0
-        for w in WORD.findall(text.lower()):
-            v, k = self._word(w)
-            total, n = total + v, n + k
-            words += len(w) // 2 if HAN.search(w) else 1
-        return ((total / n) @ self.out + self.bias if n else None), words
+            self._rows[w], self._sums[k], self._sizes[k] = k, self.emb[f].sum(0), len(f)
+        return k
 
     def log_probs(self, text: str) -> tuple[np.ndarray | None, int]:
-        z, words = self.logits(text)
-        if z is None or not (mask := script_mask(text)).any():
+        """Log probabilities of the languages of a piece's script, and its words (a Chinese character is half a word)."""
+        script = main_script(text)
+        if not script:
+            return None, 0
+        words = WORD.findall(text.lower())
+        n = sum(max(1, len(w) // 2) if HAN.search(w) else 1 for w in words) if script == "Han" else len(words)
+        if script in _ALONE:
+            out = np.full(len(CODES), -50.0)
+            out[_ALONE[script]] = 0.0
+            return out, n
+        if not words:
             return None, 0
-        z = np.where(mask, z / self.temperature, -50.0)
-        return z - z.max() - np.log(np.exp(z - z.max()).sum()), words
+        if len(self._rows) > 300_000:
+            self._rows.clear()
+        rows = [self._row(w) for w in words]
+        z = (self._sums[rows].sum(0) / self._sizes[rows].sum()) @ self.out + self.bias
+        z = np.where(_MASKS[script], z / self.temperature, -50.0)
+        z -= z.max()
+        return z - np.log(np.exp(z).sum()), n
 
     def stretches(self, text: str, label: str | None = None) -> list[tuple[int, int, str, float]]:
         """(begin, end, language, confidence) of the single-language stretches of a text, in reading order."""
