@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -58,11 +58,13 @@ NAME_TOKEN = regex.compile(r"[^\s,]+")
 WORD = regex.compile(r"[\p{L}\p{M}]+|\d+|[^\s\p{L}\p{M}\d]")
 DEVANAGARI = regex.compile(r"\p{Deva}")
 WIDTHLESS = regex.compile(r"\p{Cf}")
+INITIAL, DIGIT, UPPER = regex.compile(r"\p{Lu}\.?"), regex.compile(r"\d"), regex.compile(r"[A-Z]")
+_ALIKE = str.maketrans({"\xa0": " ", "‑": "-", "–": "-"})
 
 Segment = tuple[int, int, str, list[str]]
 
 
-@cache
+@lru_cache(200_000)
 def _fold(w: str) -> str:
     import unicodedata
 
@@ -74,8 +76,9 @@ def _given() -> frozenset[str]:
     return frozenset(_fold(w) for ws in GIVEN.values() for w in ws.split())
 
 
+@lru_cache(200_000)
 def _name_kind(t: str) -> str:
-    if regex.fullmatch(r"\p{Lu}\.?", t):
+    if INITIAL.fullmatch(t):
         return "I"
     if _fold(t.rstrip(".")) in _given():
         return "G"
@@ -85,15 +88,14 @@ def _name_kind(t: str) -> str:
 
 
 def _shape(s: str) -> str:
-    s = regex.sub(r"\d", "9", s)
-    return regex.sub(r"[\xa0‑–]", lambda m: " " if m.group() == "\xa0" else "-", regex.sub(r"[A-Z]", "A", s))
+    return UPPER.sub("A", DIGIT.sub("9", s)).translate(_ALIKE)
 
 
 def _around(text: str, a: int, b: int) -> list[str]:
-    before = [regex.sub(r"\d+", "0", w.lower()) for w in WORD.findall(text[max(0, a - 40) : a])]
+    before = ["0" if w[0].isdecimal() else w.lower() for w in WORD.findall(text[max(0, a - 40) : a])]
     if a > 40:
         before = before[1:]  # it may be cut
-    after = [regex.sub(r"\d+", "0", w.lower()) for w in WORD.findall(text[b : b + 24])]
+    after = ["0" if w[0].isdecimal() else w.lower() for w in WORD.findall(text[b : b + 24])]
     bw, aw = [w for w in before if w.isalpha()], [w for w in after if w.isalpha()]
     out = [f"b1={before[-1] if before else '^'}", f"a1={after[0] if after else '$'}"]
     out.append(f"bw1={bw[-1] if bw else '^'}")
