@@ -245,6 +245,37 @@ def query_resolution(s, d):
     return fuzzy.resolve(raw, _ascii_vocab(s, d), words).select("raw", "term", "distance")
 
 
+# ---- fuzzy over all typos and the whole vocabulary; no SQL, as DuckDB's levenshtein counts bytes ----
+def _vocab(s, d):
+    return materialize(_index(s, d).vocab, "vocab")
+
+
+def _typos(s, d):
+    return table(s, d, "typo_pair").where("typo IS NOT NULL")
+
+
+@query()
+def edit_distance_pairs_all(s, d):
+    return _typos(s, d).where("word IS NOT NULL").select("word", "typo", F.levenshtein("word", "typo").alias("distance"))
+
+
+@query()
+def closest_word_all(s, d):
+    return fuzzy.closest_words(_typos(s, d).select(F.col("typo").alias("word")), _vocab(s, d))
+
+
+@query()
+def typo_accuracy_all(s, d):
+    return fuzzy.typo_accuracy(_typos(s, d), _vocab(s, d))
+
+
+@query()
+def query_resolution_all(s, d):
+    raw = _typos(s, d).select(F.col("typo").alias("raw")).distinct().select(F.lit(1).alias("query_id"), F.lit(0).alias("qpos"), "raw")
+    words = table(s, d, "synonym_cluster").where("word IS NOT NULL").select("word").distinct()
+    return fuzzy.resolve(raw, _vocab(s, d), words).select("raw", "term", "distance")
+
+
 # ---- ranking ----
 @query(f"{o.BASE} {o.ranked(_Q)}")
 def search_batch(s, d):
