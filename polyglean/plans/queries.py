@@ -392,6 +392,66 @@ def learned_links(s, d):
     return mg.merge_links(mg.learned_links(rows.select("term"), rows))
 
 
+# ---- searches of records: the title and text of every record whose id is divisible by 100, against all rows ----
+_ASK = o.tok("trim(title || ' ' || text)")
+_RQ = f"SELECT query_id, unnest(tokens) AS term, CAST(1 AS DOUBLE) AS weight FROM (SELECT CAST(doc_id AS BIGINT) AS query_id, {_ASK} AS tokens FROM docs WHERE try_cast(doc_id AS BIGINT) % 100 = 0)"
+
+
+def _record_queries(s, d):
+    number = F.col("doc_id").try_cast("bigint")
+    return _docs(s, d).where(number % 100 == 0).select(number.alias("query_id"), tx.full_content(F.col("title"), F.col("text")).alias("q"))
+
+
+def _record_weighted(s, d):
+    t = se.query_terms(_record_queries(s, d))
+    return materialize(t.select("query_id", "qpos", F.col("raw").alias("term"), F.lit(1.0).alias("weight"), F.lit("exact").alias("via")), "weighted")
+
+
+@query(f"{o.BASE} {o.ranked(_RQ)}")
+def record_search_batch(s, d):
+    i = _written(s, d)
+    top = rank.ranked(rank.scores(_record_weighted(s, d), i), i.documents)
+    return top.select("query_id", "rank", "doc_id", "lang", F.round("score", 4).alias("score"), "relative_score_pct")
+
+
+@query(f"{o.BASE} {o.ranked(_RQ, 'fr', 5)}")
+def record_search_lang_filtered(s, d):
+    i = _written(s, d)
+    top = rank.ranked(rank.scores(_record_weighted(s, d), i), i.documents, "fr", 5)
+    return top.select("query_id", "rank", "doc_id", "lang", F.round("score", 4).alias("score"), "relative_score_pct")
+
+
+@query(f"{o.BASE}, w AS ({_RQ}) SELECT query_id, doc_id, term, tf, round({o.IDF}, 4) AS idf, weight, round(tf * ({o.IDF}) * weight, 4) AS contribution FROM w JOIN postings USING (term) JOIN vocab USING (term)")
+def record_search_breakdown(s, d):
+    rows = rank.scores_with_breakdown(_record_weighted(s, d), _written(s, d)).select("query_id", "doc_id", F.explode("breakdown").alias("b"))
+    return rows.select("query_id", "doc_id", "b.term", "b.tf", "b.idf", "b.weight", "b.contribution")
+
+
+@query(f"{o.BASE}, w AS ({_RQ}) SELECT query_id, term, coalesce(df, 0) AS df, CASE WHEN df IS NULL THEN 0.0 ELSE round({o.IDF}, 4) END AS idf, 1.0 AS weight FROM w LEFT JOIN vocab USING (term)")
+def record_term_stats(s, d):
+    return rank.term_stats(_record_weighted(s, d), _index(s, d)).select("query_id", "term", "df", "idf", "weight")
+
+
+@query(f"{o.BASE}, {o.CLOSURE}, {_SYN.replace(_Q, _RQ)} {o.ranked(_SYNW)}")
+def record_synonym_weighted_search(s, d):
+    c = syn.word_components(table(s, d, "synonym_cluster"))
+    return se.search_batch(_record_queries(s, d), _written(s, d), se.Graphs(words=c), fuzzy_on=False, meaning_on=False)
+
+
+@query(f"{o.BASE}, w0 AS ({_RQ}), {o.expansion('SELECT DISTINCT term AS seed FROM w0')} {o.ranked(_MEANW)}")
+def record_meaning_weighted_search(s, d):
+    links = mg.merge_links(table(s, d, "links"))
+    return se.search_batch(_record_queries(s, d), _written(s, d), se.Graphs(links=links), fuzzy_on=False, synonyms_on=False)
+
+
+@query()
+def record_full_search(s, d):
+    """Many searches with typo correction, meanings and synonyms; ranked rows without breakdown and highlighting."""
+    known = latest_lookups(table(s, d, "dictionary")).where("found").select("term")
+    graphs = se.Graphs(syn.word_components(table(s, d, "synonym_cluster")), mg.merge_links(table(s, d, "links")), known)
+    return se.search_batch(_record_queries(s, d), _written(s, d), graphs)
+
+
 # ---- cache ----
 @query("""WITH log AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, user_id AS key FROM events), p AS (SELECT seq, key, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS prev, lead(seq) OVER (PARTITION BY key ORDER BY seq) AS nxt FROM log),
  far AS (SELECT a.seq, count(b.seq) AS distance FROM p a LEFT JOIN p b ON b.seq > a.prev AND b.seq < a.seq AND (b.nxt IS NULL OR b.nxt > a.seq) WHERE a.prev IS NOT NULL GROUP BY a.seq)
