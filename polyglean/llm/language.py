@@ -52,6 +52,8 @@ BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 0.5
 SWITCH_END, SWITCH_INSIDE = 1.5, 4.0
 #: Texts of at most so many words follow their label unless the classifier contradicts it by more than PRIOR nats.
 SHORT, PRIOR = 5, 4.0
+#: Log probabilities below this count as this; those of languages in other scripts are always below.
+REJECT = -12.0
 
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 CUT = regex.compile(r"[.!?।॥؟۔]+[\p{Pf}\p{Pe}\"'”»]*(?=\s|$)|[。！？]+[\p{Pf}\p{Pe}\"']*|\n\s*\n|\s[—/|]\s")
@@ -154,19 +156,25 @@ class Model:
             return []
         total = 0
         scores, costs, known = np.zeros((len(parts), len(CODES))), np.zeros(len(parts)), False
+        weights = np.zeros(len(parts))
         for k, (a, b, _) in enumerate(parts):
             lp, words = self.log_probs(text[a:b])
             total += words
             if lp is not None and not (words <= 1 and len(parts) > 1):
                 if np.exp(lp.max()) >= self.threshold or len(parts) == 1:
-                    scores[k] = np.maximum(lp, -12.0) * min(1.0, words / 4)
+                    weights[k] = min(1.0, words / 4)
+                    scores[k] = np.maximum(lp, REJECT) * weights[k]
                     known = True
             costs[k] = SWITCH_END if k and parts[k - 1][2] else SWITCH_INSIDE
         if known and total <= SHORT and label in NAMES:
             k = CODES.index(NAMES[label])
-            scores[scores.any(1)] += np.where(np.arange(len(CODES)) == k, 0.0, -PRIOR)
-            top = scores.max(1, keepdims=True)
-            scores -= np.where(scores.any(1, keepdims=True), top + np.log(np.exp(scores - top).sum(1, keepdims=True)), 0.0)
+            for row in np.flatnonzero(scores.any(1)):
+                if scores[row, k] <= REJECT * weights[row]:  # not a language of the piece's script: the label says nothing
+                    continue
+                # the prior is weighed as the scores are, so a firm contradiction wins however few the words
+                scores[row] += np.where(np.arange(len(CODES)) == k, 0.0, -PRIOR * weights[row])
+                top = scores[row].max()
+                scores[row] -= top + np.log(np.exp(scores[row] - top).sum())
         if not known:
             return [(0, len(text), "und", 0.0)]
         best, back = scores[0], []

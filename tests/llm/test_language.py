@@ -69,3 +69,17 @@ def test_detect(spark):
     got = {(r["id"], r["seg"], r["seg_lang"]) for r in lg.label_cases(df).collect() if r["id"] >= 1000}
     assert got == {(1000, 1, "fr"), (1001, 1, "mr"), (1003, 1, "es"), (1003, 2, "de")}
     assert lg.detect(spark.createDataFrame([], "id bigint, lang string, text string")).count() == 0
+
+
+def test_label_never_beats_the_script_or_a_firm_contradiction(model):
+    for text, code in [("房子", "zh"), ("வீடு", "ta"), ("البيت", "ar"), ("வீடு நதி", "ta")]:
+        for label in ("en", "hi"):
+            assert [g[2] for g in model.stretches(text, label)] == [code]
+    # within one script: a word seen in one language only goes by the classifier if that is firm, else by the label
+    for word in ("Leute", "rivière", "people", "cerca"):
+        lp, _ = model.log_probs(word)
+        firm = lg.CODES[int(lp.argmax())]
+        for label in ("en", "fr", "de", "es"):
+            behind = lp.max() - lp[lg.CODES.index(label)]
+            if abs(behind - lg.PRIOR) > 0.1:
+                assert model.stretches(word, label)[0][2] == (firm if behind > lg.PRIOR else label)
