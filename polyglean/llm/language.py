@@ -5,7 +5,8 @@ trained by stochastic gradient descent in numpy on a bounded sample of labelled
 are noisy, so the rows that a first pass contradicts firmly are relabelled before a second. A temperature and a
 rejection threshold are fitted on held-out rows. Every record is then classified piece by piece (sentences and parts
 between strong separators); the best sequence of languages, with a cost for each switch, gives the stretches. Pieces
-of one or two words, or rejected ones, carry little or no weight of their own and follow their neighbours.
+of one or two words, or rejected ones, carry little or no weight of their own and follow their neighbours. If no piece
+is known on its own, neighbouring pieces of one script are classified together.
 
 Records with NULL or blank text give no stretch. Text in no known language gives 'und'. Rows are classified one by
 one, so repeated rows, ties and long texts need no special care; a text's stretches need memory in proportion to it.
@@ -111,6 +112,19 @@ def main_script(text: str) -> str:
     return top if top and counts[top] * 2 >= sum(counts.values()) else ""
 
 
+def script_runs(text: str, parts: list[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
+    """The parts with neighbours of one main script joined; those without a script go with the part before."""
+    out, script = [], ""
+    for a, b, strong in parts:
+        s = main_script(text[a:b])
+        if out and (not s or not script or s == script):
+            out[-1] = (out[-1][0], b, strong)
+        else:
+            out.append((a, b, strong))
+        script = s or script
+    return out
+
+
 class Model:
     def __init__(self, emb: np.ndarray, out: np.ndarray, bias: np.ndarray):
         self.emb, self.out, self.bias = emb, out, bias
@@ -154,17 +168,24 @@ class Model:
         parts = pieces(text)
         if not parts:
             return []
-        total = 0
-        scores, costs, known = np.zeros((len(parts), len(CODES))), np.zeros(len(parts)), False
-        weights = np.zeros(len(parts))
-        for k, (a, b, _) in enumerate(parts):
-            lp, words = self.log_probs(text[a:b])
-            total += words
-            if lp is not None and not (words <= 1 and len(parts) > 1):
-                if np.exp(lp.max()) >= self.threshold or len(parts) == 1:
-                    weights[k] = min(1.0, words / 4)
-                    scores[k] = np.maximum(lp, REJECT) * weights[k]
-                    known = True
+        found = [self.log_probs(text[a:b]) for a, b, _ in parts]
+        lone = sum(lp is not None for lp, _ in found) == 1  # blank pieces and numbers are no company
+
+        def sure(lp: np.ndarray | None, words: int) -> bool:
+            return lp is not None and (lone or words > 1 and np.exp(lp.max()) >= self.threshold)
+
+        known = any(sure(*f) for f in found)
+        if not known:  # no piece says enough on its own: those of one script are scored together
+            parts = script_runs(text, parts)
+            found = [self.log_probs(text[a:b]) for a, b, _ in parts]
+            known = any(lp is not None for lp, _ in found)
+            sure = lambda lp, words: lp is not None
+        total = sum(words for _, words in found)
+        scores, costs, weights = np.zeros((len(parts), len(CODES))), np.zeros(len(parts)), np.zeros(len(parts))
+        for k, (lp, words) in enumerate(found):
+            if sure(lp, words):
+                weights[k] = min(1.0, words / 4)
+                scores[k] = np.maximum(lp, REJECT) * weights[k]
             costs[k] = SWITCH_END if k and parts[k - 1][2] else SWITCH_INSIDE
         if known and total <= SHORT and label in NAMES:
             k = CODES.index(NAMES[label])

@@ -83,3 +83,20 @@ def test_label_never_beats_the_script_or_a_firm_contradiction(model):
             behind = lp.max() - lp[lg.CODES.index(label)]
             if abs(behind - lg.PRIOR) > 0.1:
                 assert model.stretches(word, label)[0][2] == (firm if behind > lg.PRIOR else label)
+
+
+def test_pieces_of_one_word(model):
+    de = "Leute. Fluss. Haus."
+    for text, codes in [
+        (de, ["de"]), ("coffee. ", None), ("வீடு. நதி.", ["ta"]), ("房子。河边。", ["zh"]), ("வீடு. ", ["ta"]), ("12. వంతెన.\n", ["te"]),
+        ("వంతెన. வீடு.", ["te", "ta"]),
+    ]:
+        got = model.stretches(text)
+        assert "und" not in [g[2] for g in got] and got[0][0] == 0 and got[-1][1] == len(text)
+        assert codes is None or [g[2] for g in got] == codes
+    # pieces that are all rejected are scored together too
+    low, model.threshold = model.threshold, 1.1
+    try:
+        assert [g[2] for g in model.stretches(TEXTS["fr"] + ". " + TEXTS["fr"] + ".")] == ["fr"]
+    finally:
+        model.threshold = low
