@@ -22,7 +22,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from polyglean.llm.personal_training import GIVEN, HONORIFICS, sentences
+from polyglean.functions.words import FUNCTION_WORDS
+from polyglean.llm.personal_training import COMMON, GIVEN, HONORIFICS, sentences
 from polyglean.runtime import spread
 
 KINDS = ("email", "phone", "idno", "addr", "pname")
@@ -76,6 +77,11 @@ def _given() -> frozenset[str]:
     return frozenset(_fold(w) for ws in GIVEN.values() for w in ws.split())
 
 
+@cache
+def _common() -> frozenset[str]:
+    return frozenset(_fold(w) for w in (*FUNCTION_WORDS, *COMMON))
+
+
 @lru_cache(200_000)
 def _name_kind(t: str) -> str:
     if INITIAL.fullmatch(t):
@@ -84,6 +90,8 @@ def _name_kind(t: str) -> str:
         return "G"
     if _fold(t.rstrip(".")) in HONORIFICS:
         return "H"
+    if _fold(t.rstrip(".")) in _common():
+        return "W"
     return "F" if "." not in t else "D"
 
 
@@ -91,16 +99,12 @@ def _shape(s: str) -> str:
     return UPPER.sub("A", DIGIT.sub("9", s)).translate(_ALIKE)
 
 
-def _around(text: str, a: int, b: int) -> list[str]:
+def _before(text: str, a: int) -> list[str]:
     before = ["0" if w[0].isdecimal() else w.lower() for w in WORD.findall(text[max(0, a - 40) : a])]
     if a > 40:
         before = before[1:]  # it may be cut
-    after = ["0" if w[0].isdecimal() else w.lower() for w in WORD.findall(text[b : b + 24])]
-    bw, aw = [w for w in before if w.isalpha()], [w for w in after if w.isalpha()]
-    out = [f"b1={before[-1] if before else '^'}", f"a1={after[0] if after else '$'}"]
-    out.append(f"bw1={bw[-1] if bw else '^'}")
-    out.append(f"bw2={' '.join(bw[-2:])}")
-    out.append(f"aw1={aw[0] if aw else '$'}")
+    bw = [w for w in before if w.isalpha()]
+    out = [f"b1={before[-1] if before else '^'}", f"bw1={bw[-1] if bw else '^'}", f"bw2={' '.join(bw[-2:])}"]
     if len(bw) > 1:
         out.append(f"bx={bw[-2]}")
     if text[a - 1 : a] == "\n" or a == 0:
@@ -108,6 +112,16 @@ def _around(text: str, a: int, b: int) -> list[str]:
     return out
 
 
+def _after(text: str, b: int) -> list[str]:
+    after = ["0" if w[0].isdecimal() else w.lower() for w in WORD.findall(text[b : b + 24])]
+    aw = [w for w in after if w.isalpha()]
+    return [f"a1={after[0] if after else '$'}", f"aw1={aw[0] if aw else '$'}"]
+
+
+def _around(text: str, a: int, b: int) -> list[str]:
+    return _before(text, a) + _after(text, b)
+
+
 def candidates(text: str) -> list[Segment]:
     """All candidate segments (begin, end, kind, features) of a text without zero-width characters."""
     out: list[Segment] = []
@@ -172,22 +186,26 @@ def candidates(text: str) -> list[Segment]:
     for m in NAME_RUN.finditer(text):
         toks = [(m.start() + t.start(), m.start() + t.end()) for t in NAME_TOKEN.finditer(m.group())]
         kinds = [_name_kind(text[a:b]) for a, b in toks]
-        if "G" not in kinds and "H" not in kinds and not (len(toks) < 6 and not DEVANAGARI.search(m.group())):
-            continue
+        before, after = [_before(text, a) for a, _ in toks], {}
         for i in range(len(toks)):
             for j in range(i + 1, min(len(toks), i + 5)):
-                if "G" not in kinds[i : j + 1] and (i == 0 or kinds[i - 1] != "H") and DEVANAGARI.search(text[toks[i][0] : toks[i][1]]):
-                    continue
                 if "D" in kinds[i:j] or kinds[j] == "I" and not text[toks[j][0] : toks[j][1]].endswith("."):
                     continue
                 a, b = toks[i][0], toks[j][1]
                 if text[b - 1] == "." and kinds[j] != "I":
                     b -= 1
+                if b not in after:
+                    after[b] = _after(text, b)
                 form = "".join(("," if text[toks[k][0] - 2] == "," else "") * (k > i) + kinds[k] for k in range(i, j + 1))
+                if "G" not in form and DEVANAGARI.match(text[a]):
+                    form = f"d{form}"  # without capitals the form alone says less
+                near = [*before[i], *after[b]]
+                if "G" not in form:
+                    near = [f"u:{x}" for x in near]  # what stands around says more of a name that is on no list
                 left = "^" if i == 0 else ("," if text[toks[i][0] - 2] == "," else "") + kinds[i - 1]
                 right = "$" if j == len(toks) - 1 else kinds[j + 1]
                 caps = "upper" if text[a:b].isupper() else "mixed"
-                f = [f"form={form}", f"form={form}|{left}", f"form={form}>{right}", f"left={left}", caps, f"caps={caps}{form}", *_around(text, a, b)]
+                f = [f"form={form}", f"form={form}|{left}", f"form={form}>{right}", f"left={left}", caps, f"caps={caps}{form}", f"common={kinds[i] == 'W'}{kinds[j] == 'W'}{'W' in kinds[i : j + 1]}", *near]
                 out.append((a, b, "pname", f))
     return out
 
@@ -267,10 +285,14 @@ class SemiCRF:
                         self.w[f] += rate * d / math.sqrt(sums[f] + 1e-2)
 
 
+#: Share of the training names whose given name is on no list.
+UNLISTED = 0.4
+
+
 def train(n: int = 6000, seed: int = 5) -> SemiCRF:
     """Fit on ``n`` written sentences."""
     data = []
-    for text, spans in sentences(n, seed):
+    for text, spans in sentences(n, seed, UNLISTED):
         if cands := candidates(text):
             data.append((cands, set(spans)))
     model = SemiCRF()

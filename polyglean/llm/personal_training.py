@@ -8,6 +8,8 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
+from polyglean.functions.words import FUNCTION_WORDS
+
 # Common given names and forms of address.
 GIVEN = {
     "en": "Martin Colin Harold Grace Daphne Owen Alice Judith Irene Felix Nora Edgar James Mary John Emma Oliver Sarah",
@@ -20,6 +22,13 @@ GIVEN = {
 HONORIFICS = frozenset(
     "dr prof mr mrs ms miss sr sra senor senora don dona mme mlle m monsieur madame herr frau श्री श्रीमती कुमारी डॉ".split()
 )
+# Ordinary words that often stand where a name could, beside the function words.
+COMMON = (
+    "हालांकि हालाँकि जबकि लेकिन मगर किंतु परंतु क्योंकि इसलिए फिर जब तब जहाँ अगर यदि वैसे हम आप वे मैं तुम इस उस इन उन ही या साथ लिए बाद पहले होता होती होते "
+    "गया गई गए आया आई नहीं कभी आज कल यहाँ वहाँ बहुत कुछ सब सभी अपने अपनी अपना किसी कोई जो आहे आहेत आणि पण मात्र किंवा कारण म्हणून येथे येथील तेथे नाही होता होती होते "
+    "मी ती ते हे हा आम्ही तुम्ही त्या या मध्ये साठी खूप ohne unter über alle viele manche jede jeder jedes gutes guter neue alte wenn weil doch dann hier "
+    "today yesterday why how many most some these those our all when after quand après voici chaque selon hoy cuando después según quando depois hoje"
+).split()
 
 _S = ["ba", "do", "fi", "ga", "ho", "ju", "ke", "lo", "mi", "nu", "pa", "ri", "sa", "te", "vu", "ze", "bo", "ku", "la", "ne", "si", "to", "ve", "mo"]
 _H = ["का", "बी", "तु", "ने", "मी", "सा", "रे", "ल", "दि", "पा", "गी", "हु", "चे", "या", "नि", "टे", "डा", "ज"]
@@ -60,17 +69,17 @@ PLAIN = {
     "en": "Order no. {O} was late.|{W} Street was closed for {n} days.|The shelf holds jars 000 {4} {4} by lot.|Old {W} {W} cheese is sold in lots of {n}.|The {W} Bridge and the {W} Brothers mill are old.|The book has ISBN 000-0-{2}-{4}-0.|Batch 666{6} cost 1 {4},50 in total.|Parts 555-{4}-{2} fit the {W} {W} oven.|We counted {4}-{4} steps, 12.{4} N 45.{4} E.|Meet us @market or at 5 @ {n} coins each.|Version 10.{2}.{4} came in 2019-2024.|The {W} {W} Orchestra played at Cafe {W}.|People in {W} talk about the dog after the rain.|{W}-{W} has been known for its car since the old bridge was built.|They walked to {W} with a car and came back with {n} pictures.|{n} ideas for your garden|A music guide for {W}|Which of {W} and {W} arrived first at the {W} ferry with the blue lantern?|EXPLAIN WHY {U} REFUSED THE BREAD OF {U} ALTHOUGH {U} HAD OFFERED IT THREE TIMES.|To be honest, {W} is warm. {W}: dog and food|Invoice {4}/{4} is due.|My neighbour met us in {W}. On the other hand, it was late.",
     "es": "El pedido {O} llegó tarde.|La calle {W} estuvo cerrada {n} días.|Costó 1.{3},50 en 2019-2024.|El Mercado {W} {W} abre a las {n}.|El Café {W} {W} abre a las {n}.|Guía de pan en {W}|Los vecinos llegaron a {W} durante las vacaciones.|La torre de {W} guarda {n} llaves que {W} prestó a {W}.|Artículo {4} {4}, página {n}.|La gente de {W}-{W} pregunta por pan.|El puente {W} {W} es viejo.|El queso {W} {W} es bueno.|{n} consejos sobre música",
     "fr": "La commande {O} est en retard.|La rue {W} était fermée {n} jours.|Version 10.{2}.{4} du guide.|Le Café {W} {W} ouvre à {n} heures.|La Maison {W} {W} est fermée.|{W}, entre pain et maison|On peut trouver du pain près de {W} pour {n} pièces.|Les habitants de {W} parlent souvent du pain.|Le pont {W} {W} est vieux.|Article {4} {4}, page {n}.|Quand {W} ouvrit le vieux moulin, {W} compta {n} cloches.|{n} idées pour le pain",
-    "de": "Die Bestellung {O} kam spät.|Die {W}straße war {n} Tage gesperrt.|Artikel {4} {4}, Seite {n}.|Der Verein {W} {W} hat {n} Mitglieder.|Im Turm von {W} liegen {n} Kisten, die {W} einst an {W} verlieh.|In {W} spricht man gern über Hund und Brot.|Das Café {W} {W} ist offen.|Früher war {W} für Brot bekannt, heute eher für Auto.|{n} Tipps für Musik|Essen in {W}|Noch ein Hinweis: Die Nachbarn kamen nach {W}.|Kurz gesagt: Wir haben {n} Arten von Brot verglichen.",
+    "de": "Die Bestellung {O} kam spät.|Die {W}straße war {n} Tage gesperrt.|Artikel {4} {4}, Seite {n}.|Der Verein {W} {W} hat {n} Mitglieder.|Im Turm von {W} liegen {n} Kisten, die {W} einst an {W} verlieh.|In {W} spricht man gern über Hund und Brot.|Das Café {W} {W} ist offen.|Früher war {W} für Brot bekannt, heute eher für Auto.|{n} Tipps für Musik|Essen in {W}|Noch ein Hinweis: Die Nachbarn kamen nach {W}.|Kurz gesagt: Wir haben {n} Arten von Brot verglichen.|Ohne Garten wäre das Haus leer.|Viele Kinder lesen am Abend Bücher.|Gutes Wetter hilft, sagt man. Frischer Kuchen auch.|Große Städte haben kleine Läden.",
     "pt": "O pedido {O} chegou tarde.|A rua {W} ficou fechada {n} dias.|Guia de pão em {W}|Artigo {4} {4}, página {n}.|O Mercado {W} {W} abre às {n}.|A padaria {W} {W} abre às {n}.|Custou 1.{3},50 em 2019-2024.|As pessoas de {W} não falam de pão.|A torre de {W} guarda {n} chaves que {W} emprestou para {W}.|O livro {W} {W} custou pouco.|{n} dicas sobre música",
-    "hi": "ऑर्डर {O} देर से आया।|{w} मार्ग {n} दिन बंद था।|{w} के लोग सुबह के समय पानी के बारे में बात करते हैं।|आप {w} के पास {n} रुपये में रोटी ले सकते हैं।|पानी के लिए {n} सुझाव|मीनार {w} में {n} चाबियाँ हैं जो {w} ने कभी {w} को दी थीं।|{w} {w} की दुकान {n} बजे खुलती है।|अंक {4} {4}, पृष्ठ {n}.|पुस्तक संख्या 000-0-{2}-{4}-0 है।",
+    "hi": "ऑर्डर {O} देर से आया।|{w} मार्ग {n} दिन बंद था।|{w} के लोग सुबह के समय पानी के बारे में बात करते हैं।|आप {w} के पास {n} रुपये में रोटी ले सकते हैं।|पानी के लिए {n} सुझाव|मीनार {w} में {n} चाबियाँ हैं जो {w} ने कभी {w} को दी थीं।|{w} {w} की दुकान {n} बजे खुलती है।|अंक {4} {4}, पृष्ठ {n}.|पुस्तक संख्या 000-0-{2}-{4}-0 है।|वह रोज़ सुबह नदी तक जाता है, और फिर घर लौटता है।|हम चाय पीते हैं, हालांकि आज दूध नहीं था।|मौसम ठीक हो तो, आप {w} तक चल सकते हैं।|लोग कहते हैं कि {w} का पानी मीठा है, लेकिन महँगा।|बच्चों ने गीत चुना, फिर खेल शुरू हुआ।|किसान {w} से लौटा, जबकि बैल खेत में थे।|ती रोज सकाळी {w} येथे जाते, आणि संध्याकाळी परत येते।|{w} येथील बाग सुंदर आहे, पण लहान आहे।|आम्ही चहा घेतला, कारण पाऊस पडत होता।|पुरानी किताब मेज़ पर रखी है, नई अलमारी में।|{w} में लोग त्योहार पर मिठाई बाँटते हैं।",
 }
 OTHER = ["E-mail: {E}", "{E}", "Tel: {P}", "({P})", "Mail: {E}", "{P}"]
 OTHER_TEXT = ["আমরা 41 রকমের বই দেখে এইটি বেছে নিয়েছি।", "இந்த பழைய கதை எல்லோருக்கும் பிடிக்கும்.", "没有人想到小猫会这么受欢迎。", "یہ کتاب بہت آسان ہے۔", "قارنا بين 49 أنواع من قصة واخترنا هذا.", "ਅਸੀਂ 53 ਤਰ੍ਹਾਂ ਦੇ ਗੱਡੀ ਵੇਖੇ।", "അവൾ അവധിക്കാലത്ത് വന്നു.", "ती गेल्या हिवाळ्यात परत आली."]
 
 
 class _Writer:
-    def __init__(self, rng: random.Random):
-        self.r = rng
+    def __init__(self, rng: random.Random, unlisted: float = 0.0):
+        self.r, self.unlisted = rng, unlisted
 
     def word(self) -> str:
         w = "".join(self.r.choice(_S) for _ in range(self.r.choice((2, 3, 3)))) + self.r.choice(("", "n", "r", "s", "m", "l"))
@@ -101,9 +110,12 @@ class _Writer:
         f = place() + (f"-{place()}" if self.r.random() < 0.12 else "")
         return self.r.choice(ADDRS[lang].split("|")).format(n=self.r.randint(1, 250), m=self.r.randint(1, 30), f=f, j=self.word())
 
-    def name(self, lang: str) -> str:
+    def name(self, lang: str, bare: bool = False) -> str:
+        """A name; ``unlisted`` of those with words around them have a given name that is on no list."""
         g = self.r.choice(GIVEN[lang].split())
         place = (self.deva if lang == "hi" else self.word)
+        if self.unlisted and not bare and self.r.random() < self.unlisted:
+            g = place()
         f = place() + (f"-{place()}" if self.r.random() < 0.15 else "")
         x = self.r.random()
         if lang == "hi":
@@ -131,7 +143,21 @@ class _Writer:
             return f"{user} at {dom.replace('.', ' dot ')}"
         return f"{user}@{dom}".upper() if x < 0.4 else f"{user}@{dom}"
 
+    def noise(self, lang: str) -> str:
+        """Invented and ordinary words in no known context, without a name."""
+        deva = lang == "hi"
+        common = [w for w in (*FUNCTION_WORDS, *COMMON) if ("\u0900" <= w[0] <= "\u097f") == deva and w[0] < "\u0980" and (deva or w.isalpha())]
+        words = []
+        for k in range(self.r.randint(4, 12)):
+            w = self.r.choice(common) if self.r.random() < 0.5 else self.deva() if deva else self.word()
+            if not deva:
+                w = w.capitalize() if not k or self.r.random() < 0.35 else w.lower()
+            words.append(w + self.r.choices(("", ",", ":"), (75, 13, 12))[0])
+        return " ".join(words).rstrip(",:") + ("।" if deva else ".")
+
     def plain(self, lang: str) -> str:
+        if self.unlisted and self.r.random() < 0.4:
+            return self.noise(lang)
         out = self.r.choice(PLAIN[lang].split("|"))
         while "{" in out:
             k = out.index("{")
@@ -152,13 +178,16 @@ class _Writer:
             "N": ("pname", self.name), "A": ("addr", self.address), "I": ("idno", self.idno),
             "P": ("phone", self.phone), "E": ("email", self.email),
         }[carrier[k + 1]]
-        v = make(lang)
+        v = self.name(lang, carrier == "{N}") if kind == "pname" else make(lang)
         return carrier[:k] + v + carrier[k + 3 :], [(k, k + len(v), kind)]
 
 
-def sentences(n: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
-    """``n`` texts of one to three sentences with the places and kinds of their pieces."""
-    w = _Writer(random.Random(seed))
+def sentences(n: int, seed: int, unlisted: float = 0.0) -> Iterator[tuple[str, list[tuple[int, int, str]]]]:
+    """``n`` texts of one to three sentences with the places and kinds of their pieces.
+
+    ``unlisted``: share of names, bare ones aside, whose given name is an invented word, so that words around it and form carry it.
+    """
+    w = _Writer(random.Random(seed), unlisted)
     for _ in range(n):
         lang = w.r.choice(list(CARRIERS))
         joint = w.r.choice((" ", " ", "  ", "\n", "\n- ", "\n\n"))

@@ -79,3 +79,15 @@ def test_tables(spark):
 def test_long_text(model):
     text = "They walked to Vobaro with a cat. " * 20000 + "Tel: 07700 900431"
     assert [k for *_, k in ps.find(model, text)] == ["phone"]
+
+
+def test_given_names_on_no_list(model):
+    found = wanted = 0
+    for text, spans in sentences(600, 78, unlisted=1.0):
+        names = {s for s in spans if s[2] == "pname"}
+        found += len(names & set(ps.find(model, text)))
+        wanted += len(names)
+    assert wanted > 100 and found / wanted > 0.9
+    for text, name in [("श्री तुबीने गीसा से मिलिए।", "तुबीने गीसा"), ("My name is Zolabin Vobaro and I bake.", "Zolabin Vobaro")]:
+        assert [text[a:b] for a, b, _ in ps.find(model, text)] == [name]
+    assert ps.find(model, "वह रोज़ सुबह बाग़ तक जाता है, और शाम को घर आता है।") == []
