@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from html import _invalid_charrefs, _invalid_codepoints
+from html.entities import html5
 
 from pyspark.sql import Column, functions as F
 
@@ -72,25 +73,52 @@ def is_cjk(text: Column) -> Column:
     return text.rlike(CJK)
 
 
-# HTML entities of the dictionary markup; the ampersand is resolved last.
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ",
-    "&middot;": "·", "&copy;": "©", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&amp;": "&",
-}
+# Named HTML entities, those that need no semicolon (longest first), and numbers that stand for others.
+_LEGACY = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
+_ENTITY = r"(&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)|[^&]+|&)"
+
+
+def _table(pairs: dict) -> Column:
+    """A constant map; one literal after folding."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in pairs.items())), F.lit("\x02"), F.lit("\x01"))
+
+
+def unescape(text: Column) -> Column:
+    """Resolve all HTML entities, named and numeric, once and by the rules of HTML 5."""
+
+    def number(p: Column) -> Column:
+        hexed = F.regexp_extract(p, "^&#[xX]0*([0-9a-fA-F]*)", 1)
+        digits = F.regexp_extract(p, "^&#0*([0-9]*)", 1)
+        n = F.when(p.rlike("^&#[xX]"), F.when(F.length(hexed) <= 6, F.conv(F.concat(F.lit("0"), hexed), 16, 10)))
+        n = n.otherwise(F.when(F.length(digits) <= 7, F.concat(F.lit("0"), digits))).cast("int")
+        char = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        none = n.isin(sorted(_invalid_codepoints))
+        bad = n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+        return F.coalesce(F.element_at(_table(_invalid_charrefs), n.cast("string")), F.when(bad, F.lit("\ufffd")).when(none, "").otherwise(char))
+
+    def name(p: Column) -> Column:
+        names = _table({f"&{k}": v for k, v in html5.items()})
+        start = F.regexp_extract(p, f"^&(?:{_LEGACY})", 0)
+        short = F.concat(F.element_at(names, start), F.substr(p, F.length(start) + 1))
+        return F.coalesce(F.element_at(names, p), short, p)
+
+    one = lambda p: F.when(p.rlike("^&#[0-9xX]"), number(p)).when(p.startswith("&"), name(p)).otherwise(p)
+    whole = F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), one), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def clean_html(raw: Column) -> Column:
     """Drop comments and tags, resolve entities, collapse white space. NULL -> ''."""
     bare = F.regexp_replace(F.coalesce(raw, F.lit("")), r"(?s)<!--.*?-->", "")
     bare = F.regexp_replace(bare, r"<[^>]+>", "")
-    bare = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), bare)
+    bare = unescape(bare)
     return F.trim(F.regexp_replace(bare, WHITE, " "))
 
 
 def normalize_link(raw: Column) -> Column:
     """Strip tags and link brackets, resolve entities, lower case, drop Arabic vowel marks and tatweel."""
     bare = F.regexp_replace(F.coalesce(raw, F.lit("")), r"<[^>]+>|\[\[|\]\]", "")
-    bare = reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES.items(), bare)
+    bare = unescape(bare)
     return F.regexp_replace(F.lower(F.trim(bare)), r"[\u0640\u064b-\u065f\u0670]", "")
 
 

@@ -77,3 +77,15 @@ def test_edit_matrix_and_path(spark):
     steps = [r["op"] for r in sorted(rows, key=lambda r: r["step"]) if r["word1"] == "kitten"]
     assert steps == ["substitute", "match", "match", "match", "substitute", "match", "insert"]
     assert not [r for r in rows if r["word1"] == r["word2"] == ""]
+
+
+def test_all_entities(spark):
+    import html
+    from html.entities import html5
+
+    texts = [f"a&{n}b" for n in html5] + [f"&#{n};x" for n in (*range(0, 300), 0xD800, 0xFFFF, 0x1F600, 0x110000, 10**12)]
+    texts += ["&eacute;t&#xE9; &#X1F600 &notit; &copy2020 &amp;lt; R&D & &; &unknown; &# &#x; &ampamp; &#00065;", "no mark", "&#x" + "F" * 30 + ";"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tx.unescape(F.col("t")).alias("u"))
+    assert [(r["t"], r["u"]) for r in df.collect() if r["u"] != html.unescape(r["t"])] == []
+    assert one(spark, "caf&eacute;&#160;cr&#x27;me", tx.clean_html) == "café cr'me"
+    assert one(spark, "Caf&eacute;", tx.normalize_link) == "café"
