@@ -290,9 +290,12 @@ def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
 
 
 def sample(plain: DataFrame, rows: int = ROWS) -> list[tuple[str, str]]:
-    """At most ``rows`` labelled rows per language, the first in the order of a hash of their content."""
+    """At most ``rows`` labelled rows per language, the first in the order of a hash of their content.
+
+    Their texts are taken whole: the driver needs memory in proportion to them.
+    """
     h = F.xxhash64("plain_text", "id")
-    labelled = plain.select(label_code(F.col("lang")).alias("code"), F.substring("plain_text", 1, 2000).alias("t"), h.alias("h")).where("code IS NOT NULL AND length(t) > 20")
+    labelled = plain.select(label_code(F.col("lang")).alias("code"), F.col("plain_text").alias("t"), h.alias("h")).where("code IS NOT NULL AND length(t) > 20")
     first = labelled.withColumn("n", F.row_number().over(W.partitionBy("code").orderBy("h"))).where(F.col("n") <= rows)
     return [(r[0], r[1]) for r in first.select("code", "t").collect()]
 

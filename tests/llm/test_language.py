@@ -100,3 +100,9 @@ def test_pieces_of_one_word(model):
         assert [g[2] for g in model.stretches(TEXTS["fr"] + ". " + TEXTS["fr"] + ".")] == ["fr"]
     finally:
         model.threshold = low
+
+
+def test_sample_takes_whole_texts(spark):
+    text = (TEXTS["en"] + ". ") * 100 + TEXTS["fr"]
+    df = spark.createDataFrame([(1, "en", text)], "id bigint, lang string, plain_text string")
+    assert len(text) > 2000 and lg.sample(df) == [("en", text)]
