@@ -8,9 +8,18 @@ from __future__ import annotations
 
 import unicodedata as U
 
-from polyglean.llm.plain_form import LOOK_ALIKES, _compat
 from polyglean.plans.oracle import tok
 
+# For each Latin letter what may stand for it, stated apart from the operator's table.
+_MEANT = {
+    "a": "аαɑ", "b": "ьЬ", "c": "сϲⲥᴄ", "d": "ԁ", "e": "еҽ", "g": "ɡցԍ", "h": "һհ", "i": "іιıɩɪ", "j": "јϳյȷ", "k": "кκ", "l": "ӏ",
+    "n": "ո", "o": "оοօⲟᴏ", "p": "рρⲣ", "q": "ԛզ", "r": "г", "s": "ѕꜱ", "t": "τ", "u": "υսʋᴜ", "v": "νѵᴠ", "w": "ԝᴡ", "x": "хχⲭ",
+    "y": "уүγʏ", "z": "ᴢ",
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐ", "C": "СϹⲤᏟꓚ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "F": "Ϝꓝ", "G": "ԌᏀꓖ", "H": "НΗⲎᎻꓧ", "I": "ІΙӀⲒꓲ", "J": "ЈͿᎫꓙ",
+    "K": "КΚⲔᏦꓗ", "L": "Ꮮꓡ", "M": "МΜⲘᎷꓟ", "N": "ΝⲚꓠ", "O": "ОΟՕⲞꓳ", "P": "РΡⲢᏢꓑ", "Q": "Ԛ", "R": "ᎡᏒꓣ", "S": "ЅՏᏕᏚꓢ", "T": "ТΤⲦᎢꓔ",
+    "U": "Սꓴ", "V": "ѴᏙꓦ", "W": "ԜᎳᏔꓪ", "X": "ХΧⲬꓫ", "Y": "ҮУΥᎽꓬ", "Z": "ΖᏃꓜ",
+}
+
 
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
@@ -20,14 +29,14 @@ def _plain(x: str) -> str:
     single, several = {}, {}
     for cp in [*range(0x2F00, 0x2FD6), *range(0xFB00, 0xFB07), *range(0xFE80, 0xFEFD), *range(0xFF01, 0xFF5F), *range(0xA0, 0x3001)]:
         ch = chr(cp)
-        to = " " if U.category(ch) == "Zs" else _compat(ch) if cp >= 0x2F00 else ch
+        to = " " if U.category(ch) == "Zs" else U.normalize("NFKC", ch) if cp >= 0x2F00 else ch
         if to != ch:
             (single if len(to) == 1 else several)[ch] = to
     s = f"regexp_replace(coalesce({x}, ''), '\\p{{Cf}}+', '', 'g')"
     s = f"translate({s}, {_q(''.join(single))}, {_q(''.join(single.values()))})"
     for a, b in several.items():
         s = f"replace({s}, {_q(a)}, {_q(b)})"
-    look, latin = "".join(LOOK_ALIKES), "".join(LOOK_ALIKES.values())
+    look, latin = "".join(_MEANT.values()), "".join(a * len(xs) for a, xs in _MEANT.items())
     runs = f"regexp_extract_all(nfc_normalize({s}), '[\\p{{L}}\\p{{M}}]+|[^\\p{{L}}\\p{{M}}]+')"
     run = f"CASE WHEN regexp_full_match(r, '[\\p{{Latin}}\\p{{M}}{look}]+') THEN translate(r, {_q(look)}, {_q(latin)}) ELSE r END"
     return f"nfc_normalize(array_to_string(list_transform({runs}, lambda r: {run}), ''))"

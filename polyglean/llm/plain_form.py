@@ -21,22 +21,32 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from polyglean.runtime import materialize
 
-# Letters that look like a Latin letter, and that letter.
-LOOK_ALIKES = {
+# Letters that look like a Latin letter and that letter, from Unicode's list of confusable characters (UTS 39).
+# Letters that only resemble a small capital or another shape (Cyrillic в м н т, Greek σ ω) are no look-alikes.
+LOOK_ALIKES = dict(zip(
     # Cyrillic
-    "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q",
-    "ѕ": "s", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x", "ү": "y",
-    "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P",
-    "Ԛ": "Q", "Ѕ": "S", "Т": "T", "Ѵ": "V", "Ԝ": "W", "Х": "X", "Ү": "Y", "Ӏ": "I",
+    "асԁеһіјӏоркԛѕуѵԝхүгьҽԍ" "АВСЕԌНІЈКМОРԚЅТѴԜХҮУӀЬ"
     # Greek
-    "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j",
-    "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
-    "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
+    "αγικνορτυχϲϳ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿϜ"
     # Armenian
-    "օ": "o", "ս": "u", "հ": "h", "Օ": "O", "Ս": "U",
-    # Latin variants
-    "ɡ": "g", "ɑ": "a",
-}
+    "օսհոցզյ" "ՕՍՏ"
+    # Coptic
+    "ⲟⲣⲥⲭ" "ⲞⲢⲤⲬⲎⲒⲔⲘⲚⲦ"
+    # Cherokee
+    "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᎽᏀᏒᏔᏕᏙᏚᏞᏟᏢᏦᏴᏃ"
+    # Lisu
+    "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+    # Latin variants and small capitals of the same shape
+    "ɡɑıɩɪȷʋʏᴄᴏᴜᴠᴡᴢꜱ",
+    "acdehijlopkqsyvwxyrbeg" "ABCEGHIJKMOPQSTVWXYYIb"
+    "ayikvoptuxcj" "ABEZHIKMNOPTYXCJF"
+    "ouhngqj" "OUS"
+    "opcx" "OPCXHIKMNT"
+    "DRTAJEWMHYGRWSVSLCPKBZ"
+    "BPDTGKJCZFMNLSRVHWXYAEIOU"
+    "gaiiijuycouvwzs",
+    strict=True,
+))
 
 #: Clusters that are composed together; bounds the strings built in one step.
 BLOCK = 64
@@ -60,7 +70,7 @@ def _compat(ch: str) -> str:
         return ch
     tag, cp = d[1 : d.index(">")], ord(ch)
     form = tag in ("wide", "narrow", "initial", "medial", "final", "isolated")
-    letters = 0xFB00 <= cp <= 0xFB4F or 0x2E80 <= cp <= 0x2FD5 or 0x2160 <= cp <= 0x217F
+    letters = 0xFB00 <= cp <= 0xFB4F or 0x2E80 <= cp <= 0x2FD5 or 0x2160 <= cp <= 0x217F or 0x1C4 <= cp <= 0x1F3
     if form or letters or tag == "compat" and ("LIGATURE" in U.name(ch, "") or "DIGRAPH" in U.name(ch, "")):
         wide = U.normalize("NFKD", ch)
         return ch if " " in wide and cp != 0x3000 else wide
@@ -259,11 +269,11 @@ def look_alike_pairs(records: DataFrame) -> DataFrame:
     Records are grouped by stored form first (counted map-side). Only different forms of one class are paired, each
     pair of forms once, and then replaced by their records: every row made is a row of the result, so a class of exact
     copies of any size costs nothing. The form with fewer records is expanded first; the join with the larger one is
-    on the form, whose skewed partitions the adaptive join splits. A record without a numeric id has none to report
-    and is in no pair.
+    on the form, whose skewed partitions the adaptive join splits. Rows of a NULL id must be made unique before, as
+    ``records`` does.
     """
     e = lambda c: F.coalesce(c, F.lit(""))
-    forms = plain_form(records.where("id IS NOT NULL"), "id", "title", "text").select(
+    forms = plain_form(records, "id", "title", "text").select(
         "id",
         F.sha2(F.to_json(F.struct(e("plain_title").alias("a"), e("plain_text").alias("b"))), 256).alias("class"),
         F.sha2(F.to_json(F.struct(e("title").alias("a"), e("text").alias("b"))), 256).alias("form"),

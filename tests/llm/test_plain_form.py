@@ -4,8 +4,9 @@ import unicodedata as U
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from polyglean.llm.oracle import _MEANT
 from polyglean.llm.plain_form import LOOK_ALIKES, _compat, look_alike_pairs, plain_form
-from polyglean.llm.tables import records
+from polyglean.llm.tables import SURROGATE, records
 
 SCHEMA = "id bigint, title string, text string"
 
@@ -83,7 +84,7 @@ def test_every_character(spark):
 
 
 def test_pairs(spark):
-    rows = [(1, "é", "x"), (2, "é", "x"), (3, "é", "x"), (4, None, "x"), (5, "", "x"), (6, "é ", "x"), (7, "é", "y"), (None, "e\u0301", "x")]
+    rows = [(1, "é", "x"), (2, "é", "x"), (3, "é", "x"), (4, None, "x"), (5, "", "x"), (6, "é ", "x"), (7, "é", "y")]
     got = {tuple(r) for r in look_alike_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {(1, 2), (2, 3)}
     assert look_alike_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -91,6 +92,20 @@ def test_pairs(spark):
 
 def test_records(spark):
     t = [dt.datetime(2024, 1, d) for d in (1, 2)]
-    rows = [("7", "a", "old", t[0], 1), ("7", "a", "new", t[1], 1), ("x", None, None, t[0], 2), (None, "q", "q", t[0], None)]
-    got = records(spark.createDataFrame(rows, "id string, title string, text string, loaded_at timestamp, batch_id bigint"))
-    assert {(r["id"], r["text"]) for r in got.collect()} == {(7, "new"), (None, "q")}
+    rows = [("7", "a", "old", t[0], 1), ("7", "a", "new", t[1], 1), ("x", None, None, t[0], 2), ("y", None, None, t[0], 2), (None, "q", "q", t[0], None), (None, "q", "q", t[1], None), (None, "r", "q", None, None)]
+    got = records(spark.createDataFrame(rows, "id string, title string, text string, loaded_at timestamp, batch_id bigint")).collect()
+    assert sorted((r["id"] if r["id"] > 0 else None, r["title"] or "", r["text"] or "") for r in got if r["id"] > 0) == [(7, "a", "new")]
+    odd = [r for r in got if r["id"] <= SURROGATE]
+    assert sorted((r["title"] or "", r["text"] or "") for r in odd) == [("", ""), ("", ""), ("q", "q"), ("r", "q")]
+    assert len({r["id"] for r in got}) == 5
+
+
+def test_look_alikes_stated_twice():
+    assert {x: a for a, xs in _MEANT.items() for x in xs} == LOOK_ALIKES
+
+
+def test_standard_look_alikes(spark):
+    """Letters that Unicode lists as confusable, in words that read as Latin; foreign words with other letters stay."""
+    cases = [("τοραz", "topaz"), ("кіngz", "kingz"), ("ցаrdеn", "garden"), ("vιrυs", "virus"), ("γеаr", "year"), ("bооκ", "book"), ("ехιt", "exit"), ("ᎡᎬꓮⅮ", "READ"),
+             ("хлеб", "хлеб"), ("φίλος", "φίλος"), ("дружба", "дружба"), ("ǆ", "dž")]
+    assert run(spark, [a for a, _ in cases]) == [b for _, b in cases]
