@@ -1,7 +1,7 @@
 """Problem 1: one plain form for text that looks alike but is stored with different characters.
 
-Texts are split into pieces; only pieces that hold a character the plain form may change are exploded to positioned
-code points. These are joined with a broadcast mapping table (its size is bounded by Unicode), which gives each code
+Texts are split at blanks; only pieces that hold a character the plain form may change are exploded to positioned
+code points, what stands between them stays whole. These are joined with a broadcast mapping table (its size is bounded by Unicode), which gives each code
 point its decomposition, the class of each combining mark, the Latin letter it may be mistaken for, and the letters it
 composes with. Marks are ordered by class inside their cluster, runs of letters that read wholly as Latin once
 look-alikes are resolved take the Latin letters, clusters are composed again and the strings rebuilt.
@@ -56,9 +56,8 @@ MAPPING_SCHEMA = T.StructType([
     T.StructField("parts", T.ArrayType(T.StructType([
         T.StructField("ch", T.StringType()),
         T.StructField("ccc", T.IntegerType()),
-        T.StructField("second", T.BooleanType()),
+        T.StructField("second", T.IntegerType()),
         T.StructField("look", T.StringType()),
-        T.StructField("comp", T.MapType(T.StringType(), T.StringType())),
     ]))),
 ])
 
@@ -98,7 +97,8 @@ def compositions() -> dict[str, dict[str, str]]:
 def mapping() -> tuple[list, str]:
     """Rows of the mapping table, and a Java pattern that finds every piece the plain form may change."""
     comp = compositions()
-    part = lambda c: (c, U.combining(c), c in comp, LOOK_ALIKES.get(c), comp.get(c))
+    place = {b: n for n, b in enumerate(comp)}
+    part = lambda c: (c, U.combining(c), place.get(c), LOOK_ALIKES.get(c))
     rows, changed, nonstarters = [], [], []
     for cp in range(0x110000):
         ch = chr(cp)
@@ -112,7 +112,7 @@ def mapping() -> tuple[list, str]:
         else:
             plain = U.normalize("NFD", _compat(ch))
         parts = [part(c) for c in plain]
-        if parts != [(ch, 0, False, None, None)]:
+        if parts != [(ch, 0, None, None)]:
             rows.append((ch, parts))
             if U.normalize("NFC", plain) != ch or ch in LOOK_ALIKES or any(c in LOOK_ALIKES for c in plain):
                 changed.append(cp)
@@ -157,34 +157,47 @@ def touched(text: Column) -> Column:
     return F.coalesce(~text.rlike(r"\A[\x00-\x7f]*\z") & text.rlike(mapping()[1]), F.lit(False))
 
 
-def _units(field: int, text: Column, row: T.StructType) -> Column:
-    """Pieces of a text in order: whole blank-separated pieces that stay, single code points of those that may change.
+def _hits(pieces: Column) -> Column:
+    """Places of the blank-separated pieces that the plain form may change."""
+    return F.filter(F.transform(pieces, lambda w, i: F.when(touched(w), i)), lambda i: i.isNotNull())
 
-    The blank after a piece is its own unit; an empty last unit carries the text through if all else is dropped. Units
-    have a place for the record's other columns, which stays NULL here.
+
+def _units(field: int, text: Column, pieces: Column, hits: Column, row: T.StructType) -> Column:
+    """A text as ordered units: single code points of the pieces that may change, and what stands between such pieces.
+
+    What stands between holds a blank, or is empty, so no run of letters goes across. An empty last unit carries the
+    text through if all else is dropped. Units have a place for the record's other columns, which stays NULL here.
     """
-    none, nothing = F.lit(-1), F.lit(None).cast(row)
+    nothing = F.lit(None).cast(row)
     unit = lambda i, j, u: F.struct(F.lit(field).alias("f"), i.alias("i"), j.alias("j"), u.alias("u"), nothing.alias("row"))
     empty = F.array().cast(T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in "fij"] + [T.StructField("u", T.StringType()), T.StructField("row", row)])))
+    blank, none = F.array(F.lit("")), F.array().cast("array<string>")
 
-    def piece(w: Column, i: Column) -> Column:
-        points = F.transform(F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0)), lambda c, j: unit(i, j, c))
-        whole = F.when(touched(w), points).otherwise(F.array(unit(i, F.lit(0), w)))
-        return F.when(i == 0, whole).otherwise(F.concat(F.array(unit(i, none, F.lit(" "))), whole))
+    def piece(t: Column, n: Column) -> Column:
+        before = F.when(n > 0, F.element_at(hits, n) + 1).otherwise(0)
+        gap = F.concat(F.when(n > 0, blank).otherwise(none), F.slice(pieces, before + 1, t - before), blank)
+        points = F.transform(F.regexp_extract_all(F.element_at(pieces, t + 1), F.lit("(?s)."), F.lit(0)), lambda c, j: unit(t, j, c))
+        return F.concat(F.array(unit(t, F.lit(-1), F.array_join(gap, " "))), points)
 
-    pieces = F.flatten(F.transform(F.split(text, " ", -1), piece))
-    end = F.array(unit(F.lit(2**31 - 1), F.lit(0), F.lit("")))
-    return F.when(text.isNull(), empty).otherwise(
-        F.concat(F.when(touched(text), pieces).otherwise(F.array(unit(F.lit(0), F.lit(0), text))), end)
-    )
+    last = F.element_at(hits, -1)
+    tail = F.when(last + 1 < F.size(pieces), F.array_join(F.concat(blank, F.slice(pieces, last + 2, F.size(pieces))), " ")).otherwise("")
+    end = F.array(unit(F.lit(2**31 - 1), F.lit(0), F.when(F.size(hits) > 0, tail).otherwise(text)))
+    return F.when(text.isNull(), empty).otherwise(F.concat(F.flatten(F.transform(hits, piece)), end))
 
 
 def _compose(items: Column) -> Column:
-    """Canonical composition of ordered items (ch, ccc, comp), as one string."""
+    """Canonical composition of ordered items (ch, ccc, second), as one string.
+
+    ``second`` is the place of a second character in two constant lists: what it composes with, and what that gives.
+    """
+    firsts = F.array(*[F.lit("".join(x)) for x in compositions().values()])
+    results = F.array(*[F.lit("".join(x.values())) for x in compositions().values()])
     zero = F.struct(F.lit("").alias("out"), F.lit("").alias("st"), F.lit("").alias("tail"), F.lit(0).alias("last"))
 
     def step(s: Column, x: Column) -> Column:
-        c = F.when((s["tail"] == "") | ((s["last"] < x["ccc"]) & (x["ccc"] > 0)), x["comp"][s["st"]])
+        near = (s["tail"] == "") | ((s["last"] < x["ccc"]) & (x["ccc"] > 0))
+        at = F.nullif(F.position(s["st"], firsts[x["second"]]), F.lit(0))
+        c = F.when(x["second"].isNotNull() & (s["st"] != "") & near, F.substring(results[x["second"]], at, F.lit(1)))
         new = lambda out, st, tail, last: F.struct(
             out.alias("out"), st.alias("st"), tail.alias("tail"), last.alias("last")
         )
@@ -215,10 +228,12 @@ def plain_form(df: DataFrame, key: str, *cols: str) -> DataFrame:
     # the other columns travel once per record, on a unit of their own: they are never copied along with the others
     row = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).cast(kind)
     carrier = F.array(F.struct(F.lit(-1).alias("f"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit("").alias("u"), row.alias("row")))
-    units = F.concat(carrier, *[_units(k, F.col(c), kind) for k, c in enumerate(cols)])
     m = F.broadcast(mapping_table(spark))
-    points = some.select(F.col(key).alias("k"), F.explode(units).alias("x")).select("k", "x.*").join(m, "u", "left")
-    own = F.array(F.struct(F.col("u").alias("ch"), F.lit(0).alias("ccc"), F.lit(False).alias("second"), F.lit(None).cast("string").alias("look"), F.lit(None).cast("map<string,string>").alias("comp")))
+    split = some.select(F.col(key).alias("k"), carrier.alias("carrier"), *[F.col(c).alias(f"t{n}") for n, c in enumerate(cols)], *[F.split(c, " ", -1).alias(f"p{n}") for n, c in enumerate(cols)])
+    marked = split.select("*", *[_hits(F.col(f"p{n}")).alias(f"h{n}") for n, _ in enumerate(cols)])
+    units = F.concat("carrier", *[_units(n, F.col(f"t{n}"), F.col(f"p{n}"), F.col(f"h{n}"), kind) for n, _ in enumerate(cols)])
+    points = marked.select("k", F.explode(units).alias("x")).select("k", "x.*").join(m, "u", "left")
+    own = F.array(F.struct(F.col("u").alias("ch"), F.lit(0).alias("ccc"), F.lit(None).cast("int").alias("second"), F.lit(None).cast("string").alias("look")))
     points = points.select("k", "row", "f", "i", "j", F.posexplode(F.coalesce("parts", own)).alias("sub", "p")).select(
         "k", "row", "f", "i", "j", "sub", "p.*"
     )
@@ -236,19 +251,15 @@ def plain_form(df: DataFrame, key: str, *cols: str) -> DataFrame:
         "*",
         count(F.col("kind") == "other").alias("run"),
         count(F.col("ccc") == 0).alias("starter"),
-        count((F.col("ccc") == 0) & ~F.col("second")).alias("cluster"),
+        count((F.col("ccc") == 0) & F.col("second").isNull()).alias("cluster"),
     )
     run = W.partitionBy("k", "f", "run")
     foreign = F.max(F.when(F.col("kind") == "letter", 1).otherwise(0)).over(run)
     ch = F.when((F.col("kind") == "look") & (foreign == 0), F.col("look")).otherwise(F.col("ch"))
-    item = F.struct("starter", "ccc", "i", "j", "sub", ch.alias("ch"), F.map_entries("comp").alias("e"))
+    item = F.struct("starter", "ccc", "i", "j", "sub", ch.alias("ch"), "second")
     ready = points.select("k", "row", "f", F.floor(F.col("cluster") / BLOCK).alias("block"), item.alias("item"))
-    bare = F.transform(
-        F.array_sort(F.collect_list("item")),
-        lambda x: F.struct(x["ch"].alias("ch"), x["ccc"].alias("ccc"), F.map_from_entries(x["e"]).alias("comp")),
-    )
     blocks = ready.groupBy("k", "f", "block").agg(
-        F.first("row", ignorenulls=True).alias("row"), _compose(bare).alias("s")
+        F.first("row", ignorenulls=True).alias("row"), _compose(F.array_sort(F.collect_list("item"))).alias("s")
     )
     texts = F.collect_list(F.when(F.col("f") >= 0, F.struct("f", "block", "s")))
     done = blocks.groupBy("k").agg(F.first("row", ignorenulls=True).alias("row"), F.array_sort(texts).alias("t"))
