@@ -56,12 +56,19 @@ _WORDS = lambda c: f"list_filter(regexp_split_to_array(regexp_replace(lower(coal
 _USES = f"uses AS (SELECT id, term, count(*) AS k FROM (SELECT id, unnest({_terms('''pt || ' ' || px''')}) AS term FROM plain) GROUP BY id, term)"
 _FREQ = f"freq AS (SELECT term, count(*) AS uses, count(DISTINCT id) AS records FROM (SELECT id, unnest({_terms('px')}) AS term FROM plain) GROUP BY term)"
 _MARK = "CASE WHEN records < 3 THEN 'rare' WHEN records >= (SELECT count(*) FROM recs) / 20.0 THEN 'common' END"
+_XLNX = lambda x: f"CASE WHEN {x} > 0 THEN ({x}) * ln({x}) ELSE 0 END"
+_TWO = [_XLNX(x) for x in ("k", "len - k", "cf - k", "t - cf - len + k")]
+_ONE = [_XLNX(x) for x in ("len", "t - len", "cf", "t - cf")]
+_G = f"greatest(2.0 * ({' + '.join(_TWO)} - ({' + '.join(_ONE)}) + {_XLNX('t')}), 0.0)"
 
 SQL = {
     "p1_found": f"{BASE} SELECT a.id AS id_a, b.id AS id_b FROM plain a JOIN plain b ON a.pt = b.pt AND a.px = b.px AND a.id < b.id AND (a.title <> b.title OR a.text <> b.text)",
     "p2_found": f"""{BASE}, {_USES}, n AS (SELECT term, count(*) AS n FROM uses GROUP BY term),
  best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY -round(k * ln((SELECT count(*) FROM recs) / CAST(n AS DOUBLE)), 9), term) AS rn FROM uses JOIN n USING (term))
  SELECT id, term FROM best WHERE rn = 1 AND k >= 3 AND n BETWEEN 2 AND 20""",
+    "p2_scores": f"""{BASE}, {_USES}, n AS (SELECT term, count(*) AS n, sum(k) AS cf FROM uses GROUP BY term), l AS (SELECT id, sum(k) AS len FROM uses GROUP BY id),
+ c AS (SELECT id, term, k AS uses, n, CAST(k AS DOUBLE) AS k, CAST(cf AS DOUBLE) AS cf, CAST(len AS DOUBLE) AS len, CAST((SELECT sum(k) FROM uses) AS DOUBLE) AS t FROM uses JOIN n USING (term) JOIN l USING (id))
+ SELECT id, term, uses AS k, n, round(CASE WHEN k * (t - len) < (cf - k) * len THEN -({_G}) ELSE {_G} END, 3) + 0.0 AS llr, round(k * ln((SELECT count(*) FROM recs) / CAST(n AS DOUBLE)), 6) + 0.0 AS score FROM c""",
     "p4_found": f"""{BASE}, keyed AS (SELECT id, list_sort([{_CANON('pt')}, {_CANON('px')}]) AS key FROM plain),
  kept AS (SELECT key, min(id) AS id_kept FROM keyed GROUP BY key HAVING count(*) > 1) SELECT id_kept, id AS id_copy FROM keyed JOIN kept USING (key) WHERE id <> id_kept""",
     "p5_found": f"{BASE}, {_FREQ} SELECT term, mark FROM (SELECT term, {_MARK} AS mark FROM freq) WHERE mark IS NOT NULL AND NOT regexp_matches(term, '[\\x{{4e00}}-\\x{{9fff}}]')",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from polyglean.llm.copy_ledger import ledger_of
 from polyglean.llm.language import detect, label_cases
@@ -32,7 +32,9 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every term of every record with its counts, log-likelihood ratio and score."""
-    return distinctive_terms(records(read(spark, sf, "corpus")))
+    out = distinctive_terms(records(read(spark, sf, "corpus")))
+    short = lambda c, d: (F.round(c, d) + 0.0).alias(c)
+    return out.select("id", "term", "k", "n", short("llr", 3), short("score", 6))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
