@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from polyglean.runtime import delete
+from polyglean.runtime import files
 
 CORPUS_SCHEMA = "id STRING, title STRING, lang STRING, text STRING"
 LINK_SCHEMA = "a STRING, b STRING, cost INT, hub STRING"
@@ -60,38 +60,27 @@ def require_valid(docs: DataFrame) -> DataFrame:
 
 
 class LinkStore:
-    """Link table under a versioned path; a new version becomes valid by replacing one small pointer file."""
+    """Link table under a versioned path; a new version becomes valid by replacing one small pointer file in one step."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._p = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._p(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _current(self) -> str | None:
-        try:
-            return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
-        except Exception:
-            return None
+        self.files = files(spark, self.path)
 
     def load(self) -> DataFrame:
-        """The links; a missing or unreadable store is empty."""
-        version = self._current()
-        try:
-            if version is None:
-                raise FileNotFoundError
-            return self.spark.read.schema(LINK_SCHEMA).parquet(f"{self.path}/{version}")
-        except Exception:
+        """The links; a missing store, or one whose tables are gone, is empty."""
+        version = (self.files.read("CURRENT") or "").strip()
+        if not version or not self.files.names(version):
             return self.spark.createDataFrame([], LINK_SCHEMA)
+        return self.spark.read.schema(LINK_SCHEMA).parquet(f"{self.path}/{version}")
 
     def save(self, links: DataFrame) -> None:
-        old, version = self._current(), f"v-{uuid.uuid4().hex}"
+        """Write a new version; the one before stays for readers that still use it, older ones go."""
+        old, version = (self.files.read("CURRENT") or "").strip(), f"v-{uuid.uuid4().hex}"
         links.select("a", "b", "cost", "hub").where("a < b").write.parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value STRING").coalesce(1).write.mode("overwrite").text(f"{self.path}/CURRENT.new")
-        self._fs.delete(self._p(f"{self.path}/CURRENT"), True)
-        self._fs.rename(self._p(f"{self.path}/CURRENT.new"), self._p(f"{self.path}/CURRENT"))
-        if old:
-            delete(self.spark, f"{self.path}/{old}")
+        self.files.put("CURRENT", version)
+        for name in self.files.names():
+            if name.startswith("v-") and name not in (old, version):
+                self.files.delete(name)
 
 
 def latest_lookups(dictionary: DataFrame) -> DataFrame:
