@@ -71,6 +71,8 @@ SQL = {
  SELECT id, term, uses AS k, n, round(CASE WHEN k * (t - len) < (cf - k) * len THEN -({_G}) ELSE {_G} END, 3) + 0.0 AS llr, round(k * ln((SELECT count(*) FROM recs) / CAST(n AS DOUBLE)), 6) + 0.0 AS score FROM c""",
     "p4_found": f"""{BASE}, keyed AS (SELECT id, list_sort([{_CANON('pt')}, {_CANON('px')}]) AS key FROM plain),
  kept AS (SELECT key, min(id) AS id_kept FROM keyed GROUP BY key HAVING count(*) > 1) SELECT id_kept, id AS id_copy FROM keyed JOIN kept USING (key) WHERE id <> id_kept""",
+    "p4_ledger": f"""{BASE}, keyed AS (SELECT id, sha256(array_to_string(list_sort([{_CANON('pt')}, {_CANON('px')}]), chr(10))) AS key FROM plain)
+ SELECT key, min(id) AS id_kept, count(*) AS copies FROM keyed GROUP BY key""",
     "p5_found": f"{BASE}, {_FREQ} SELECT term, mark FROM (SELECT term, {_MARK} AS mark FROM freq) WHERE mark IS NOT NULL AND NOT regexp_matches(term, '[\\x{{4e00}}-\\x{{9fff}}]')",
     "p5_frequencies": f"{BASE}, {_FREQ} SELECT term, uses, records, {_MARK} AS mark FROM freq",
     "p6_found": f"""WITH w AS (SELECT doc_id, {_WORDS('text')} AS ws FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k+9], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 8)) AS k FROM w)),

@@ -81,10 +81,8 @@ def distinctive_terms(records: DataFrame) -> DataFrame:
     uses = materialize(record_terms(records, "title", "text"), "uses")
     total = records.select("id").count()
     vocab = materialize(uses.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("cf")), "vocab")
-    sums = vocab.agg(F.sum("cf"), F.sum("n")).first()
-    tokens, postings = sums[0] or 0, sums[1] or 0
-    limit = 1000 * (postings // max(total, 1) + 1)
-    joined = split_join(uses, vocab, ["term"], f"n * 1000 >= {max(total, 1)}", limit)
+    tokens = vocab.agg(F.sum("cf")).first()[0] or 0
+    joined = split_join(uses, vocab, ["term"], f"n * 1000 >= {max(total, 1)}")
     k, cf, length = (F.col(c).cast("double") for c in ("k", "cf", "length"))
     return joined.select(
         "id", "term", "k", "n",

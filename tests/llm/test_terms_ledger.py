@@ -1,13 +1,17 @@
 import math
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from polyglean.llm import terms as t
+from polyglean.llm import copy_ledger as cl, terms as t
 from polyglean.llm.copy_ledger import CopyLedger, canonical_key, ledger_of
+from polyglean.llm.tables import SURROGATE
 
 SCHEMA = "id bigint, title string, text string"
 ROWS = [
@@ -101,3 +105,66 @@ def test_hot_group(spark):
 def test_key_keeps_symbols(spark):
     k = lambda a, b: spark.range(1).select(canonical_key(F.lit(a), F.lit(b))).first()[0]
     assert k("a", "b") == k("B", "a.") != k("a+", "b") and k("ab", "") != k("a", "b")
+
+
+def rows_of(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_ledger_opened_again(spark, tmp_path, monkeypatch):
+    """State survives the object and a failed step; changed ids leave their group; buckets grow; runs are merged."""
+    monkeypatch.setattr(cl, "RUNS", 2)
+    path, now = f"file://{tmp_path}/ledger", {}
+    rng = random.Random(4)
+    for step in range(5):
+        batch = {n: (n, rng.choice("ab"), rng.choice(["x", "y", "Z", "z!", None])) for n in rng.sample(range(1, 40), 12)}
+        now |= batch
+        ledger = CopyLedger(spark, path, buckets=2, keys=6)
+        if step == 3:
+            monkeypatch.setattr(ledger.files, "put", None)
+            with pytest.raises(TypeError):
+                ledger.add(rows_of(spark, list(batch.values())))
+            ledger = CopyLedger(spark, path, buckets=2, keys=6)
+        ledger.add(rows_of(spark, list(batch.values())))
+        groups = {}
+        for n, a, b in now.values():
+            groups.setdefault(tuple(sorted([a, (b or "").lower().strip("!")])), []).append(n)
+        want = {(min(g), n) for g in groups.values() for n in g if n != min(g)}
+        again = CopyLedger(spark, path)
+        assert {tuple(r) for r in again.copies().collect()} == want
+        assert sorted((r["copies"], r["id_kept"]) for r in again.entries().collect()) == sorted((len(g), min(g)) for g in groups.values())
+    assert again.state["buckets"] > 2 and again.state["records"] == len(now)
+    again.vacuum()
+    assert {tuple(r) for r in CopyLedger(spark, path).copies().collect()} == want
+
+
+def test_ledger_of_another_process(spark, tmp_path):
+    code = (
+        "import sys; sys.path.insert(0, sys.argv[2])\n"
+        "from pyspark.sql import SparkSession\n"
+        "from polyglean.llm.copy_ledger import CopyLedger\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').config('spark.sql.shuffle.partitions', '2').getOrCreate()\n"
+        "CopyLedger(s, sys.argv[1]).add(s.createDataFrame([(5, 'A b', 'c'), (9, 'q', 'r')], 'id bigint, title string, text string'))\n"
+    )
+    path = f"file://{tmp_path}/ledger"
+    root = str(Path(__file__).resolve().parent.parent.parent)
+    subprocess.run([sys.executable, "-c", code, path, root], check=True, timeout=300, capture_output=True)
+    ledger = CopyLedger(spark, path)
+    ledger.add(rows_of(spark, [(3, "C", "ab"), (9, "other", "r"), (11, "Q", "R.")]))
+    assert {tuple(r) for r in ledger.copies().collect()} == {(3, 5)}
+    assert {(r["copies"], r["id_kept"]) for r in ledger.entries().collect()} == {(2, 3), (1, 9), (1, 11)}
+
+
+def test_batch_reads_only_its_buckets(spark):
+    ledger = CopyLedger(spark, buckets=64)
+    ledger.add(rows_of(spark, [(n, f"t{n}", "x") for n in range(300)]))
+    before = dict(ledger.state["entries"])
+    ledger.add(rows_of(spark, [(1000, "t7", "x"), (1001, "new", "x")]))
+    assert sum(before.get(b) != d for b, d in ledger.state["entries"].items()) <= 2
+
+
+def test_odd_ids(spark):
+    ledger = CopyLedger(spark, buckets=4)
+    ledger.add(rows_of(spark, [(None, "a", "b"), (4, "B", "a"), (-7, "", None)]))
+    got = {(r["copies"], r["id_kept"] if r["id_kept"] > SURROGATE else None) for r in ledger.entries().collect()}
+    assert got == {(2, None), (1, -7)}
