@@ -69,7 +69,7 @@ CUES = {
     "person": "name names author photo picture image by signed interview friend sister brother mother father aunt uncle neighbour neighbor teacher dear hello hi "
     "i'm am contact thanks thank ask asked met regards sincerely wishes cheers love nombre autor autora foto imagen firmado entrevista amiga amigo hermano "
     "hermana soy llamo querida querido saludos saludo atentamente pregunte nom auteur signe amie ami frere soeur suis appelle m'appelle cher chere "
-    "cordialement amities demandez contactez autorin fragen frage kontaktieren bild freundin freund bruder schwester bin heisse heiße liebe lieber grüße grussen grüßen herzlich nome "
+    "cordialement amities demandez contactez procure procurar pergunte perguntar preguntar pregunten autorin fragen frage kontaktieren bild freundin freund bruder schwester bin heisse heiße liebe lieber grüße grussen grüßen herzlich nome "
     "imagem assinado amigo irmao irma sou chamo-me chamo cumprimentos abracos atenciosamente लेखक नाम चित्र तस्वीर भवदीय धन्यवाद प्रिय सादर मित्र भाई बहन",
     "time": "yesterday today tomorrow morning evening afternoon week ayer hoy mañana tarde semana hier aujourd'hui demain matin soir semaine gestern heute morgen "
     "abend woche ontem hoje amanhã manhã noite कल आज परसों सुबह शाम रात हफ़्ते",
@@ -115,7 +115,7 @@ _HOUSE = r"\d{1,5}(?:[a-zA-Z](?![\p{L}\p{M}]))?(?:[-/]\d{1,4})?"
 _NO = r"(?:(?:No|Nr|nº|n\.º|n°|N°|núm|मकान\s+नं|मकान\s+संख्या|नं)\.?\s*)"
 
 EMAIL = regex.compile(
-    r"(?<![\p{L}\p{N}._%+\-])(?P<u>[\p{L}\p{N}][\p{L}\p{N}._%+\-]*)"
+    r"(?<![\p{L}\p{N}._%+\-])(?P<u>[\p{L}\p{N}][\p{L}\p{N}._%+\-]*+)"
     r"(?P<at>\s?[@＠]\s?|\s?[(\[{]\s?(?:at|AT|At)\s?[)\]}]\s?|\s(?:at|AT)\s)"
     r"(?P<d>[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?"
     r"(?:(?:[.．]|\s?[(\[{]\s?(?:dot|DOT|Dot)\s?[)\]}]\s?|\s(?:dot|DOT)\s)[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?)+)"

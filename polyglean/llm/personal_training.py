@@ -55,11 +55,11 @@ EMAILS = {
 }
 #: Sentences without any personal information.
 OTHERS = {
-    "en": "Invoice {b} was paid.|Your order {b} has been sent.|ISBN {b}|Item {b}, page {n}|Lot {b} weighs {n} kg.|Version {v} is out.|It costs {m}.|{y} was a good year.|at {g}|The {c} Bridge is old.|We flew to {c} and {c}.|{c} Street is long.|{W} is a shop in {c}.|The {W} Club meets on Monday.|Hotel {W} opens at {n}.|Bake for {n} minutes.|Some say that {c} is pretty.|In {c}, people like music.|Every Child Needs A Book|A Short Guide To {c}|Cafe {W} sells tea.|Old {c} Market|The team from {c} beat {c} by {n} goals.|Reference: {b}|Model {b} has {n} buttons.|Both {c} and {c} have a river.|Sunday in {c}: Music And Food|{c} Castle, {c} Lake and {c} Park are near.|The {W} company makes cheese.|READ THIS BEFORE YOU OPEN THE BOX.|When {c} woke up, {c} was covered in snow.|Yesterday evening it rained. Nobody came.|Serial number {b}|tracking no. {b}|Boxes {b} to {b} are kept by date.|They sold crates {b} as one lot.|Room {n}, shelf {b}, sorted by size",
-    "es": "La factura {b} está pagada.|Su pedido {b} ha salido.|ISBN {b}|Artículo {b}, página {n}|Lote {b} pesa {n} kg.|Versión {v} lista.|Cuesta {m}.|{y} fue un buen año.|El puente de {c} es viejo.|Fuimos a {c} y {c}.|La calle {c} es larga.|{W} es una tienda de {c}.|El Club {W} se reúne el lunes.|Hotel {W} abre a las {n}.|En {c} gusta la música.|El Bar {W} vende té.|Referencia: {b}|El equipo de {c} ganó a {c}.|Hornear {n} minutos.|Mercado Viejo de {c}|Ayer por la tarde llovió. Nadie vino.|Castillo {c} y Lago {c}",
-    "fr": "La facture {b} est payée.|Votre commande {b} est partie.|ISBN {b}|Article {b}, page {n}|Lot {b} pèse {n} kg.|Version {v} prête.|Prix : {m}.|{y} fut une bonne année.|Le pont de {c} est vieux.|Nous allons à {c} et à {c}.|La rue de {c} est longue.|{W} est une boutique de {c}.|Le Club {W} se réunit lundi.|Hôtel {W} ouvre à {n} heures.|À {c}, on aime la musique.|Le Bar {W} vend du thé.|Référence : {b}|L'équipe de {c} a battu {c}.|Cuire {n} minutes.|Hier soir il a plu. Personne n'est venu.|Château {c} et Lac {c}",
-    "de": "Die Rechnung {b} ist bezahlt.|Ihre Bestellung {b} ist unterwegs.|ISBN {b}|Artikel {b}, Seite {n}|Posten {b} wiegt {n} kg.|Version {v} ist fertig.|Es kostet {m}.|{y} war ein gutes Jahr.|Die Brücke von {c} ist alt.|Wir fuhren nach {c} und {c}.|Die {c}straße ist lang.|{W} ist ein Laden in {c}.|Der Verein {W} trifft sich am Montag.|Hotel {W} öffnet um {n} Uhr.|In {c} mag man Musik.|Das Gasthaus {W} hat Tee.|Nummer der Ware: {b}|Die Mannschaft aus {c} schlug {c}.|Backen Sie {n} Minuten.|Gestern Abend fiel Regen. Niemand kam.|Dieses Buch und Jener Film|Manche Kinder mögen Hunde und Katzen.|Der Garten, die Küche und das Bad sind neu.|Schloss {c} und See {c}|Wer Kaffee trinkt, mag oft auch Kuchen.",
-    "pt": "A fatura {b} está paga.|A sua encomenda {b} saiu.|ISBN {b}|Artigo {b}, página {n}|Lote {b} pesa {n} kg.|Versão {v} pronta.|Custa {m}.|{y} foi um bom ano.|A ponte de {c} é velha.|Fomos a {c} e {c}.|A rua {c} é longa.|{W} é uma loja de {c}.|O Clube {W} reúne na segunda.|Hotel {W} abre às {n}.|Em {c} gostam de música.|O Bar {W} vende chá.|Referência: {b}|A equipa de {c} venceu {c}.|Assar {n} minutos.|Ontem à noite choveu. Ninguém veio.|Castelo {c} e Lago {c}",
+    "en": "Invoice {b} was paid.|Your order {b} has been sent.|ISBN {b}|Item {b}, page {n}|Lot {b} weighs {n} kg.|Version {v} is out.|It costs {m}.|{y} was a good year.|at {g}|The {c} Bridge is old.|We flew to {c} and {c}.|{c} Street is long.|{W} is a shop in {c}.|The {W} Club meets on Monday.|Hotel {W} opens at {n}.|Bake for {n} minutes.|Some say that {c} is pretty.|In {c}, people like music.|Every Child Needs A Book|A Short Guide To {c}|Cafe {W} sells tea.|Old {c} Market|The team from {c} beat {c} by {n} goals.|Reference: {b}|Model {b} has {n} buttons.|Both {c} and {c} have a river.|Sunday in {c}: Music And Food|{c} Castle, {c} Lake and {c} Park are near.|The {W} company makes cheese.|READ THIS BEFORE YOU OPEN THE BOX.|When {c} woke up, {c} was covered in snow.|Yesterday evening it rained. Nobody came.|Serial number {b}|tracking no. {b}|Boxes {b} to {b} are kept by date.|They sold crates {b} as one lot.|Room {n}, shelf {b}, sorted by size|Fine {W} butter is on offer.|Fresh {W} honey costs {m}.|New {W} shoes came in.|Try our {W} soap.",
+    "es": "La factura {b} está pagada.|Su pedido {b} ha salido.|ISBN {b}|Artículo {b}, página {n}|Lote {b} pesa {n} kg.|Versión {v} lista.|Cuesta {m}.|{y} fue un buen año.|El puente de {c} es viejo.|Fuimos a {c} y {c}.|La calle {c} es larga.|{W} es una tienda de {c}.|El Club {W} se reúne el lunes.|Hotel {W} abre a las {n}.|En {c} gusta la música.|El Bar {W} vende té.|Referencia: {b}|El equipo de {c} ganó a {c}.|Hornear {n} minutos.|Mercado Viejo de {c}|Ayer por la tarde llovió. Nadie vino.|Castillo {c} y Lago {c}|El aceite {W} es suave.|Nuevo jabón {W} en oferta",
+    "fr": "La facture {b} est payée.|Votre commande {b} est partie.|ISBN {b}|Article {b}, page {n}|Lot {b} pèse {n} kg.|Version {v} prête.|Prix : {m}.|{y} fut une bonne année.|Le pont de {c} est vieux.|Nous allons à {c} et à {c}.|La rue de {c} est longue.|{W} est une boutique de {c}.|Le Club {W} se réunit lundi.|Hôtel {W} ouvre à {n} heures.|À {c}, on aime la musique.|Le Bar {W} vend du thé.|Référence : {b}|L'équipe de {c} a battu {c}.|Cuire {n} minutes.|Hier soir il a plu. Personne n'est venu.|Château {c} et Lac {c}|Le vin {W} est doux.|Nouveau savon {W} en promotion",
+    "de": "Die Rechnung {b} ist bezahlt.|Ihre Bestellung {b} ist unterwegs.|ISBN {b}|Artikel {b}, Seite {n}|Posten {b} wiegt {n} kg.|Version {v} ist fertig.|Es kostet {m}.|{y} war ein gutes Jahr.|Die Brücke von {c} ist alt.|Wir fuhren nach {c} und {c}.|Die {c}straße ist lang.|{W} ist ein Laden in {c}.|Der Verein {W} trifft sich am Montag.|Hotel {W} öffnet um {n} Uhr.|In {c} mag man Musik.|Das Gasthaus {W} hat Tee.|Nummer der Ware: {b}|Die Mannschaft aus {c} schlug {c}.|Backen Sie {n} Minuten.|Gestern Abend fiel Regen. Niemand kam.|Dieses Buch und Jener Film|Manche Kinder mögen Hunde und Katzen.|Der Garten, die Küche und das Bad sind neu.|Schloss {c} und See {c}|Die Butter {W} ist mild.|Neue {W} Seife im Angebot|Wer Kaffee trinkt, mag oft auch Kuchen.",
+    "pt": "A fatura {b} está paga.|A sua encomenda {b} saiu.|ISBN {b}|Artigo {b}, página {n}|Lote {b} pesa {n} kg.|Versão {v} pronta.|Custa {m}.|{y} foi um bom ano.|A ponte de {c} é velha.|Fomos a {c} e {c}.|A rua {c} é longa.|{W} é uma loja de {c}.|O Clube {W} reúne na segunda.|Hotel {W} abre às {n}.|Em {c} gostam de música.|O Bar {W} vende chá.|Referência: {b}|A equipa de {c} venceu {c}.|Assar {n} minutos.|Ontem à noite choveu. Ninguém veio.|Castelo {c} e Lago {c}|O azeite {W} é suave.|Novo sabonete {W} em promoção",
     "hi": "बिल {b} चुका दिया।|आपका ऑर्डर {b} निकल गया।|पन्ना {n}, अंक {b}|संस्करण {v} तैयार है।|क़ीमत {m} है।|{y} अच्छा साल था।|{c} का पुल पुराना है।|हम {c} और {c} गए।|{c} मार्ग लंबा है।|{c} {c} की दुकान पुरानी है।|{n} मिनट पकाएँ।|{c} में संगीत पसंद है।|कल शाम बारिश हुई।|बच्चे स्कूल गए और खेलने लगे।|अब सब घर आ गए हैं।|चाय और बिस्कुट मेज़ पर हैं।|लोग अब कम चिट्ठी लिखते हैं।|नया साल सबके लिए शुभ हो।|{c} से {c} तक सड़क है।|माँ ने खाना बनाया, फिर सबने खाया।|दादी की कहानी सुनकर नींद आ गई।|रसोई में दूध और चीनी रखी है।|मराठी भाषा सुंदर आहे, आणि लोक ती बोलतात।|आज सकाळी पाऊस पडला, पण शाळा सुरू होती।|जब गाड़ी रुकी, तब सब उतरे।",
 }
 
@@ -118,6 +118,8 @@ class Writer:
             else:
                 w = self.syllables(deva)
                 w = w if deva or out and out[-1].islower() and r.random() < 0.3 else w.lower()
+            if not deva and r.random() < 0.12:  # nouns and titles
+                w = w.capitalize()
             out.append((w.capitalize() if not k and not deva else w) + r.choices(("", ",", ":"), (82, 12, 6))[0])
         return " ".join(out).rstrip(",:") + ("।" if deva else ".")
 
