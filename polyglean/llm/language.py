@@ -2,14 +2,18 @@
 
 The classifier averages hashed embeddings of words and their character n-grams and puts a linear softmax on top; it is
 trained by stochastic gradient descent in numpy on a bounded sample of labelled rows (``ROWS`` per language). Labels
-are noisy, so the rows that a first pass contradicts firmly are relabelled before a second. A temperature and a
-rejection threshold are fitted on held-out rows. Every record is then classified piece by piece (sentences and parts
-between strong separators); the best sequence of languages, with a cost for each switch, gives the stretches. Pieces
-of one or two words, or rejected ones, carry little or no weight of their own and follow their neighbours. If no piece
-is known on its own, neighbouring pieces of one script are classified together.
-
-Records with NULL or blank text give no stretch. Text in no known language gives 'und'. Rows are classified one by
-one, so repeated rows, ties and long texts need no special care; a text's stretches need memory in proportion to it.
+are noisy, so the rows that a first pass contradicts firmly are relabelled before a second. Held-out rows give the
+temperature, found under a likelihood that allows for wrong labels, and the rejection: a logistic model of the share of
+a piece's n-grams that were seen in its language, fitted to tell pieces of their own language from pieces whose
+language is left out, as the best of the other languages sees them. No script or label decides anything.
+
+Every record is then classified piece by piece (sentences and parts between strong separators), a whole batch at once.
+The best sequence of languages, 'und' among them, with a cost for each switch, gives the stretches; a piece weighs the
+more the more words it has, up to five. A piece's confidence is the probability of its language times that of being in
+a known one.
+
+Records with NULL or blank text give no stretch. Text in no known language gives 'und'. Repeated rows, ties and long
+texts need no special care; a text's stretches need memory in proportion to it.
 """
 
 from __future__ import annotations
@@ -37,29 +41,27 @@ LANGUAGES = {
 CODES = sorted(LANGUAGES)
 NAMES = {n: c for c, ns in LANGUAGES.items() for n in [c, *ns.split()]}
 
-# Scripts of the languages; a piece mostly in another script is in none of them.
-SCRIPTS = {
-    "Latin": "en es fr de pt", "Devanagari": "hi mr sa", "Bengali": "bn as", "Telugu": "te", "Tamil": "ta",
-    "Gujarati": "gu", "Kannada": "kn", "Malayalam": "ml", "Oriya": "or", "Gurmukhi": "pa", "Arabic": "ur ar",
-    "Han": "zh",
-}
-
 #: Labelled rows per language the classifier is fitted on: the bound of the sample.
 ROWS = 600
-#: Share of the sampled rows that is held out for the temperature and the rejection threshold.
+#: One in so many of the sampled rows is held out for the temperature and the rejection.
 HELD_OUT = 5
-BUCKETS, DIM, EPOCHS, RATE = 1 << 16, 16, 4, 0.5
+BUCKETS, DIM, EPOCHS, RATE = 1 << 18, 16, 4, 0.5
 #: Costs of a language switch at a sentence end, or another separator, and inside a sentence.
 SWITCH_END, SWITCH_INSIDE = 1.5, 4.0
-#: Texts of at most so many words follow their label unless the classifier contradicts it by more than PRIOR nats.
-SHORT, PRIOR = 5, 4.0
-#: Log probabilities below this count as this; those of languages in other scripts are always below.
-REJECT = -12.0
+#: Log probabilities below this count as this.
+LEAST = -12.0
+#: Words (a Chinese word counted as two characters) from which a piece has its full weight.
+FULL = 5
+#: Words whose sums a task remembers.
+REMEMBERED = 300_000
 
 WORD = regex.compile(r"[\p{L}\p{M}]+")
 CUT = regex.compile(r"[.!?।॥؟۔]+[\p{Pf}\p{Pe}\"'”»]*(?=\s|$)|[。！？]+[\p{Pf}\p{Pe}\"']*|\n\s*\n|\s[—/|]\s")
-OF_SCRIPT = {n: regex.compile(rf"\p{{{n}}}") for n in SCRIPTS}
 HAN = regex.compile(r"[一-鿿]")
+UND = len(CODES)
+#: A label is wrong if its language has less than this probability.
+DOUBT = 0.02
+_CODE = {c: k for k, c in enumerate(CODES)}
 
 
 def label_code(label: Column) -> Column:
@@ -89,133 +91,148 @@ def pieces(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
-@cache
-def _script(ch: str) -> str | None:
-    """Script of a letter or mark; '' for letters of other scripts, None for all else."""
-    for n, p in OF_SCRIPT.items():
-        if p.match(ch):
-            return n
-    return "" if ch.isalpha() else None
-
-
-_MASKS = {n: np.isin(CODES, ls.split()) for n, ls in SCRIPTS.items()}
-_ALONE = {n: CODES.index(ls) for n, ls in SCRIPTS.items() if len(ls) == 2}
-
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Log probabilities."""
+    z = z - z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
 
-def main_script(text: str) -> str:
-    """The script that at least half of all letters and marks are in; '' if there is none or no language uses it."""
-    counts: dict[str, int] = {}
-    for ch in text:
-        if (n := _script(ch)) is not None:
-            counts[n] = counts.get(n, 0) + 1
-    top = max(counts, key=counts.get, default="")
-    return top if top and counts[top] * 2 >= sum(counts.values()) else ""
 
+def _novelty(cover: np.ndarray, grams: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """What the rejection sees of pieces: the share of n-grams known in a language, which says more of a longer piece.
 
-def script_runs(text: str, parts: list[tuple[int, int, bool]]) -> list[tuple[int, int, bool]]:
-    """The parts with neighbours of one main script joined; those without a script go with the part before."""
-    out, script = [], ""
-    for a, b, strong in parts:
-        s = main_script(text[a:b])
-        if out and (not s or not script or s == script):
-            out[-1] = (out[-1][0], b, strong)
-        else:
-            out.append((a, b, strong))
-        script = s or script
-    return out
+    ``cover`` is in units of what is usual for the language, as languages differ in how many of their n-grams a sample
+    holds; each has a constant of its own too.
+    """
+    root = np.sqrt(np.maximum(grams, 1.0))
+    return np.concatenate([np.stack([cover, 1 / root, cover / root, cover * np.log(root), np.log(root)], 1), np.eye(len(CODES))[langs]], 1)
 
 
 class Model:
     def __init__(self, emb: np.ndarray, out: np.ndarray, bias: np.ndarray):
         self.emb, self.out, self.bias = emb, out, bias
-        self.temperature, self.threshold = 1.0, 0.5
-        self._rows: dict[str, int] = {}  # word -> row of the two arrays below
+        self.seen = np.zeros((len(emb), len(CODES)), bool)  # n-grams known in each language
+        self.temperature, self.growth, self.accept = 1.0, 0.0, np.zeros(5 + len(CODES))
+        self.usual = np.ones(len(CODES))  # share of known n-grams of a language's own pieces
+        self.error = float("nan")  # calibration error on the held-out rows
+        self._forget()
+
+    def _forget(self) -> None:
+        self._rows: dict[str, int] = {}  # word -> row of the arrays below
         self._sums, self._sizes = np.zeros((1024, DIM), np.float32), np.zeros(1024, np.int32)
+        self._known, self._words = np.zeros((1024, len(CODES)), np.int32), np.zeros(1024, np.int32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self._forget()
 
     def _row(self, w: str) -> int:
-        if (k := self._rows.get(w)) is None:
-            k = len(self._rows)
-            if k == len(self._sizes):
-                self._sums = np.concatenate([self._sums, np.zeros_like(self._sums)])
-                self._sizes = np.concatenate([self._sizes, np.zeros_like(self._sizes)])
-            f = features(w)
-            self._rows[w], self._sums[k], self._sizes[k] = k, self.emb[f].sum(0), len(f)
+        k = len(self._rows)
+        if k == len(self._sizes):
+            for name in ("_sums", "_sizes", "_known", "_words"):
+                a = getattr(self, name)
+                setattr(self, name, np.concatenate([a, np.zeros_like(a)]))
+        f = features(w)
+        self._sums[k], self._sizes[k], self._known[k] = self.emb[f].sum(0), len(f), self.seen[f].sum(0)
+        self._words[k] = max(1, len(w) // 2) if HAN.search(w) else 1
+        self._rows[w] = k
         return k
 
-    def log_probs(self, text: str) -> tuple[np.ndarray | None, int]:
-        """Log probabilities of the languages of a piece's script, and its words (a Chinese character is half a word)."""
-        script = main_script(text)
-        if not script:
-            return None, 0
-        words = WORD.findall(text.lower())
-        n = sum(max(1, len(w) // 2) if HAN.search(w) else 1 for w in words) if script == "Han" else len(words)
-        if script in _ALONE:
-            out = np.full(len(CODES), -50.0)
-            out[_ALONE[script]] = 0.0
-            return out, n
-        if not words:
-            return None, 0
-        if len(self._rows) > 300_000:
-            self._rows.clear()
-        rows = [self._row(w) for w in words]
-        z = (self._sums[rows].sum(0) / self._sizes[rows].sum()) @ self.out + self.bias
-        z = np.where(_MASKS[script], z / self.temperature, -50.0)
-        z -= z.max()
-        return z - np.log(np.exp(z).sum()), n
-
-    def stretches(self, text: str, label: str | None = None) -> list[tuple[int, int, str, float]]:
-        """(begin, end, language, confidence) of the single-language stretches of a text, in reading order."""
-        parts = pieces(text)
+    def _bags(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(mean embedding, n-grams, n-grams known in each language, words) of each text."""
+        if len(self._rows) > REMEMBERED:
+            self._forget()
+        ids, at, get = [], [], self._rows.get
+        for t in texts:
+            at.append(len(ids))
+            for w in WORD.findall(t.lower()):
+                k = get(w)
+                ids.append(self._row(w) if k is None else k)
+        n = np.diff([*at, len(ids)])
+        some = np.flatnonzero(n)
+        x, size = np.zeros((len(texts), DIM)), np.zeros(len(texts))
+        known, words = np.zeros((len(texts), len(CODES))), np.zeros(len(texts))
+        if len(some):
+            ids, start = np.array(ids), np.array(at)[some]
+            size[some] = np.add.reduceat(self._sizes[ids], start)
+            x[some] = np.add.reduceat(self._sums[ids], start, axis=0) / size[some, None]
+            known[some] = np.add.reduceat(self._known[ids], start, axis=0)
+            words[some] = np.add.reduceat(self._words[ids], start)
+        return x, size, known, words
+
+    def _log_probs(self, z: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Log probabilities from logits of means: a mean of more n-grams says more."""
+        return _softmax(z * (np.maximum(size, 1.0) ** self.growth / self.temperature)[:, None])
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probabilities of the languages and 'und' for each text, and its words; rows of texts without words are 0."""
+        x, size, known, words = self._bags(texts)
+        lp = self._log_probs(x @ self.out + self.bias, size)
+        best = lp.argmax(1)
+        cover = known[np.arange(len(texts)), best] / np.maximum(size, 1) / self.usual[best]
+        z = np.clip(_novelty(cover, size, best) @ self.accept, -30, 30)
+        inside, outside = -np.log1p(np.exp(-z)), -np.log1p(np.exp(z))
+        out = np.concatenate([lp + inside[:, None], outside[:, None]], 1)
+        out[size == 0] = 0.0
+        return out, words
+
+    def many(self, texts: list[str], asked: list[str | None] | None = None) -> list[list[tuple[int, int, str, float, float]]]:
+        """(begin, end, language, confidence, that of the language asked) of each text's stretches, in reading order."""
+        asked = asked or [None] * len(texts)
+        parts = [pieces(t) for t in texts]
+        scores, words = self.scores([t[a:b] for t, ps in zip(texts, parts) for a, b, _ in ps])
+        out, at = [], 0
+        for ps, lang in zip(parts, asked):
+            lp, n = scores[at : at + len(ps)], words[at : at + len(ps)]
+            found = self._path(ps, lp, n)
+            k = _CODE.get(lang)
+            out.append([(*f, self._of(k, f, ps, lp)) for f in found])
+            at += len(ps)
+        return out
+
+    @staticmethod
+    def _of(k: int | None, stretch: tuple, parts: list, lp: np.ndarray) -> float:
+        """Probability of language ``k`` for a whole stretch, all of its pieces taken as one language."""
+        if k is None:
+            return 0.0
+        own = [bool(stretch[0] <= a < stretch[1]) for a, _, _ in parts]
+        return float(np.exp(_softmax(lp[own, :UND].sum(0, keepdims=True))[0, k]))
+
+    def stretches(self, text: str) -> list[tuple[int, int, str, float]]:
+        return [f[:4] for f in self.many([text])[0]]
+
+    @staticmethod
+    def _path(parts: list[tuple[int, int, bool]], lp: np.ndarray, words: np.ndarray) -> list[tuple[int, int, str, float]]:
         if not parts:
             return []
-        found = [self.log_probs(text[a:b]) for a, b, _ in parts]
-        lone = sum(lp is not None for lp, _ in found) == 1  # blank pieces and numbers are no company
-
-        def sure(lp: np.ndarray | None, words: int) -> bool:
-            return lp is not None and (lone or words > 1 and np.exp(lp.max()) >= self.threshold)
-
-        known = any(sure(*f) for f in found)
-        if not known:  # no piece says enough on its own: those of one script are scored together
-            parts = script_runs(text, parts)
-            found = [self.log_probs(text[a:b]) for a, b, _ in parts]
-            known = any(lp is not None for lp, _ in found)
-            sure = lambda lp, words: lp is not None
-        total = sum(words for _, words in found)
-        scores, costs, weights = np.zeros((len(parts), len(CODES))), np.zeros(len(parts)), np.zeros(len(parts))
-        for k, (lp, words) in enumerate(found):
-            if sure(lp, words):
-                weights[k] = min(1.0, words / 4)
-                scores[k] = np.maximum(lp, REJECT) * weights[k]
-            costs[k] = SWITCH_END if k and parts[k - 1][2] else SWITCH_INSIDE
-        if known and total <= SHORT and label in NAMES:
-            k = CODES.index(NAMES[label])
-            for row in np.flatnonzero(scores.any(1)):
-                if scores[row, k] <= REJECT * weights[row]:  # not a language of the piece's script: the label says nothing
-                    continue
-                # the prior is weighed as the scores are, so a firm contradiction wins however few the words
-                scores[row] += np.where(np.arange(len(CODES)) == k, 0.0, -PRIOR * weights[row])
-                top = scores[row].max()
-                scores[row] -= top + np.log(np.exp(scores[row] - top).sum())
-        if not known:
-            return [(0, len(text), "und", 0.0)]
-        best, back = scores[0], []
-        for k in range(1, len(parts)):
-            jump = best.max() - costs[k]
-            back.append(np.where(best >= jump, np.arange(len(CODES)), best.argmax()))
-            best = np.maximum(best, jump) + scores[k]
-        path = [int(best.argmax())]
-        for b in reversed(back):
-            path.append(int(b[path[-1]]))
-        path.reverse()
+        if not words.any():
+            return [(parts[0][0], parts[-1][1], "und", 0.0)]
+        top = lp[words > 0].argmax(1)
+        if (top == top[0]).all():
+            path = [int(top[0])] * len(parts)
+        else:
+            weight = np.clip((words - 0.75) / (FULL - 0.75), 0.0, 1.0)
+            scores = np.maximum(lp, LEAST) * (weight / weight.max())[:, None]
+            best, back = scores[0], []
+            for k in range(1, len(parts)):
+                jump = best.max() - (SWITCH_END if parts[k - 1][2] else SWITCH_INSIDE)
+                back.append(np.where(best >= jump, np.arange(UND + 1), best.argmax()))
+                best = np.maximum(best, jump) + scores[k]
+            path = [int(best.argmax())]
+            for b in reversed(back):
+                path.append(int(b[path[-1]]))
+            path.reverse()
         out: list[list] = []
-        for (a, b, _), lang, s in zip(parts, path, scores):
-            p = float(np.exp(min(0.0, s[lang]))) if s.any() else None
+        for (a, b, _), lang, row, n in zip(parts, path, lp, words):
+            ps = [(float(np.exp(row[lang])), float(n))] if n and lang != UND else []
             if out and out[-1][2] == lang:
                 out[-1][1] = b
-                out[-1][3] += [p] if p is not None else []
+                out[-1][3] += ps
             else:
-                out.append([a, b, lang, [p] if p is not None else []])
-        return [(a, b, CODES[lang], float(np.mean(ps)) if ps else 0.0) for a, b, lang, ps in out]
+                out.append([a, b, lang, ps])
+        return [(a, b, "und" if lang == UND else CODES[lang], sum(p * n for p, n in ps) / sum(n for _, n in ps) if ps else 0.0) for a, b, lang, ps in out]
 
 
 def _fit(bags: list[np.ndarray], labels: np.ndarray, model: Model, epochs: int, rng: np.random.Generator, rate: float) -> None:
@@ -239,69 +256,123 @@ def _fit(bags: list[np.ndarray], labels: np.ndarray, model: Model, epochs: int,
             np.add.at(model.emb, ids, np.repeat(-lr * 4 * gx, lens, axis=0).astype(np.float32))
 
 
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> np.ndarray:
+    """Weighted logistic regression by Newton's method."""
+    b = np.zeros(x.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        h = (x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
+        b += np.linalg.solve(h, x.T @ (w * (y - p)) - ridge * b)
+    return b
+
+
 def train(rows: list[tuple[str, str]], seed: int = 1) -> Model:
     """Fit on (language, text) rows."""
     rng = np.random.default_rng(seed)
     model = Model(
-        rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32),
+        rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32),
         rng.normal(0, 0.1, (DIM, len(CODES))).astype(np.float32),
         np.zeros(len(CODES), np.float32),
     )
-    bags, labels, held = [], [], []
+    grams = cache(lambda w: np.array(features(w)))
+    bags, labels, held, row = [], [], [], []
     for k, (lang, text) in enumerate(sorted(rows)):
         for a, b, _ in pieces(text):
-            bag = [f for w in WORD.findall(text[a:b].lower()) for f in features(w)]
-            if len(bag) >= 20:
-                words = WORD.findall(text[a:b].lower())
-                at = int(rng.integers(len(words)))
-                few = [f for w in words[at : at + 2] for f in features(w)]  # a short stretch, as short texts are
-                for x in (bag, few):
-                    bags.append(np.array(x))
-                    labels.append(CODES.index(lang))
-                    held.append(k % HELD_OUT == 0)
+            words = WORD.findall(text[a:b].lower())
+            if not words:
+                continue
+            at = int(rng.integers(len(words)))
+            for ws in (words, words[at : at + int(rng.integers(1, 4))]):  # and a short stretch, as short texts are
+                bags.append(np.concatenate([grams(w) for w in ws]))
+                labels.append(CODES.index(lang))
+                held.append(k % HELD_OUT == 0)
+                row.append(k)
     if not bags:
         return model
     labels, held = np.array(labels), np.array(held)
-    own = [b for b, h in zip(bags, held) if not h]
-    y = labels[~held]
-    _fit(own, y, model, EPOCHS, rng, RATE)
-    z = np.stack([model.emb[b].mean(0) @ model.out + model.bias for b in own])
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    firm = (p.max(1) > 0.8) & (p.argmax(1) != y) & np.array([len(b) > 60 for b in own])
-    y = np.where(firm, p.argmax(1), y)
-    _fit(own, y, model, EPOCHS, rng, RATE / 2)
-    if held.any():
-        zh = np.stack([model.emb[b].mean(0) @ model.out + model.bias for b, h in zip(bags, held) if h])
-        yh = labels[held]
-        ok = (zh.argmax(1) == yh) & np.array([len(b) > 60 for b, h in zip(bags, held) if h])
-
-        def confidence(t: float) -> np.ndarray:
-            q = zh / t
-            return q - q.max(1, keepdims=True) - np.log(np.exp(q - q.max(1, keepdims=True)).sum(1, keepdims=True))
-
-        # wrong labels among the held-out rows would only blur the temperature: it is fitted where model and label agree
-        grid = [0.5, 0.7, 1.0, 1.4, 2.0]
-        if ok.any():
-            agree = np.arange(len(yh))[ok]
-            model.temperature = min(grid, key=lambda t: -confidence(t)[agree, yh[agree]].mean())
-            model.threshold = float(np.clip(np.quantile(np.exp(confidence(model.temperature)[agree, yh[agree]]), 0.002), 0.3, 0.6))
+    own, y = [b for b, h in zip(bags, held) if not h], labels[~held]
+    logits = lambda bs: np.stack([model.emb[b].mean(0) for b in bs]) @ model.out + model.bias
+    if own:
+        _fit(own, y, model, EPOCHS, rng, RATE)
+        # a row whose pieces all together contradict its label firmly gets the language found, its short stretches too
+        whole = np.zeros((len(rows), len(CODES)))
+        at = np.array(row)[~held]
+        np.add.at(whole, at, np.maximum(_softmax(logits(own)), LEAST))
+        whole = _softmax(whole)
+        y = np.where(whole.max(1)[at] > np.log(0.8), whole.argmax(1)[at], y)
+        _fit(own, y, model, EPOCHS, rng, RATE / 2)
+    counts = np.zeros((BUCKETS, len(CODES)), np.int32)
+    for b, c in zip(own, y):
+        counts[np.unique(b), c] += 1
+    # what wrong labels left in a language is rare there beside its own language
+    model.seen = (counts >= 1) & (counts >= 0.03 * counts.sum(1, keepdims=True))
+    out = [b for b, h in zip(bags, held) if h]
+    if out:
+        _calibrate(model, out, logits(out), labels[held])
     return model
 
 
+def _calibrate(model: Model, bags: list[np.ndarray], z: np.ndarray, labels: np.ndarray) -> None:
+    """Temperature and its growth with the length, rejection and calibration error, all from held-out pieces."""
+    n, at = len(bags), np.arange(len(bags))
+    size = np.array([len(b) for b in bags], float)
+    known = np.stack([model.seen[b].mean(0) for b in bags])
+    # how labels go wrong: languages of long pieces, as found, against their labels
+    wrong = np.eye(len(CODES)) + 0.05 / len(CODES)
+    np.add.at(wrong, (z.argmax(1)[size > 60], labels[size > 60]), 1.0)
+    wrong /= wrong.sum(1, keepdims=True)
+
+    def loss() -> float:
+        return -np.log((np.exp(model._log_probs(z, size)) @ wrong)[at, labels]).mean()
+
+    def fitted(growth: float) -> tuple[float, float, float]:
+        model.growth, lo, hi = growth, np.log(0.02), np.log(200.0)
+        for _ in range(30):  # golden section on the logarithm of the temperature
+            a, b = hi - 0.618 * (hi - lo), lo + 0.618 * (hi - lo)
+            model.temperature = np.exp(a)
+            left = loss()
+            model.temperature = np.exp(b)
+            lo, hi = (lo, b) if left < loss() else (a, hi)
+        model.temperature = float(np.exp((lo + hi) / 2))
+        return loss(), model.temperature, growth
+
+    _, model.temperature, model.growth = min(fitted(g) for g in np.arange(0.0, 1.01, 0.1))
+    # inside: pieces whose label the classifier shares; outside: the same, their language left out
+    true = z.argmax(1) == labels
+    rest = z.copy()
+    rest[at, labels] = -np.inf
+    other = rest.argmax(1)
+    for k in range(len(CODES)):
+        if (own := true & (labels == k)).any():
+            model.usual[k] = max(0.1, float((known[own, k] * size[own]).sum() / size[own].sum()))
+    known = known / model.usual
+    x = np.concatenate([_novelty(known[at, labels], size, labels)[true], _novelty(known[at, other], size, other)[true]])
+    y = np.repeat([1.0, 0.0], true.sum())
+    if true.any():
+        model.accept = _logistic(x, y, np.ones(len(y)))
+    p = np.exp(model._log_probs(z, size)) @ wrong  # of the labels, wrong ones among them
+    conf, hit = p.max(1), p.argmax(1) == labels
+    bins = np.minimum((conf * 10).astype(int), 9)
+    model.error = float(sum(abs(conf[bins == b].mean() - hit[bins == b].mean()) * (bins == b).sum() for b in range(10) if (bins == b).any()) / n)
+
+
 def sample(plain: DataFrame, rows: int = ROWS) -> list[tuple[str, str]]:
     """At most ``rows`` labelled rows per language, the first in the order of a hash of their content.
 
     Their texts are taken whole: the driver needs memory in proportion to them.
     """
     h = F.xxhash64("plain_text", "id")
-    labelled = plain.select(label_code(F.col("lang")).alias("code"), F.col("plain_text").alias("t"), h.alias("h")).where("code IS NOT NULL AND length(t) > 20")
+    labelled = plain.select(label_code(F.col("lang")).alias("code"), F.col("plain_text").alias("t"), h.alias("h")).where("code IS NOT NULL AND length(trim(t)) > 0")
     first = labelled.withColumn("n", F.row_number().over(W.partitionBy("code").orderBy("h"))).where(F.col("n") <= rows)
     return [(r[0], r[1]) for r in first.select("code", "t").collect()]
 
 
 def detect(records: DataFrame, rows: int = ROWS) -> DataFrame:
-    """(id, lang, seg, seg_lang, confidence, begin, end): the stretches of each record's text in plain form."""
+    """(id, lang, seg, seg_lang, confidence, label_confidence, begin, end): the stretches of each text in plain form.
+
+    ``label_confidence`` is the probability of the language the record's label names, NULL if it names none. It is
+    reported beside the result and takes no part in it.
+    """
     spark = records.sparkSession
     plain = plain_form(records.select("id", "lang", "text"), "id", "text").select("id", "lang", "plain_text")
     plain = materialize(plain, "plain")  # read for the sample and for the records
@@ -310,19 +381,25 @@ def detect(records: DataFrame, rows: int = ROWS) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = model.value
         for pdf in batches:
-            out = []
-            for i, lang, label, text in zip(pdf["id"], pdf["lang"], pdf["label"], pdf["plain_text"]):
-                for k, (a, b, code, conf) in enumerate(m.stretches(text, label)):
-                    out.append((i, lang, k + 1, code, conf, a, b))
-            yield pd.DataFrame(out, columns=["id", "lang", "seg", "seg_lang", "confidence", "begin", "end"])
+            labels = [c if isinstance(c, str) else None for c in pdf["code"]]
+            out = [
+                (i, lang, k, code, conf, own if label else None, a, b)
+                for i, lang, label, found in zip(pdf["id"], pdf["lang"], labels, m.many(list(pdf["plain_text"]), labels))
+                for k, (a, b, code, conf, own) in enumerate(found, 1)
+            ]
+            yield pd.DataFrame(out, columns=["id", "lang", "seg", "seg_lang", "confidence", "label_confidence", "begin", "end"])
 
-    texts = spread(plain.where("length(trim(plain_text)) > 0").withColumn("label", label_code(F.col("lang"))))
-    return texts.mapInPandas(run, "id BIGINT, lang STRING, seg INT, seg_lang STRING, confidence DOUBLE, begin INT, end INT")
+    texts = spread(plain.where("length(trim(plain_text)) > 0").select("id", "lang", "plain_text", label_code(F.col("lang")).alias("code")))
+    return texts.mapInPandas(run, "id BIGINT, lang STRING, seg INT, seg_lang STRING, confidence DOUBLE, label_confidence DOUBLE, begin INT, end INT")
 
 
 def label_cases(stretches: DataFrame) -> DataFrame:
-    """(id, seg, seg_lang) of records whose label is missing or wrong or whose text has more than one language."""
-    right = F.coalesce(label_code(F.col("lang")) == F.col("seg_lang"), F.lit(False))
+    """(id, seg, seg_lang) of records whose label is missing or wrong or whose text has more than one language.
+
+    A label is wrong if the text gives its language a probability below ``DOUBT``: a word that several languages share
+    contradicts none of them.
+    """
+    right = F.coalesce((label_code(F.col("lang")) == F.col("seg_lang")) | (F.col("label_confidence") >= DOUBT), F.lit(False))
     per = W.partitionBy("id")
     flagged = stretches.select("id", "seg", "seg_lang", F.max("seg").over(per).alias("n"), right.alias("right"))
     return flagged.where("seg_lang <> 'und' AND (n > 1 OR NOT right)").select("id", "seg", "seg_lang")
