@@ -1,13 +1,16 @@
 """Problem 6: passages of test items inside training documents.
 
-The test items form a BM25 inverted index whose postings are cut into blocks with a stored maximum. Every passage of
-every document is a query: block-max WAND skips blocks that cannot reach the threshold and returns all items above it.
-The threshold of an item is the least score any run of ``RUN`` of its words gives, so a passage that holds such a run
+The test items form a BM25 inverted index whose postings are cut into blocks with a stored maximum. Passages of the
+documents are queries: block-max WAND skips blocks that cannot reach the threshold and returns all items above it. The
+threshold of an item is the least score any run of ``RUN`` of its words gives, so a passage that holds such a run
 always reaches it: retrieval loses no case. The pairs retrieved are then verified word by word.
 
-Passages overlap by RUN - 1 words, so each run lies whole in one. Documents are read once and never shuffled before the
-verified pairs. The items are a stated, fixed set; they are indexed in shards of at most ``SHARD`` items, so what is
-sent to the executors is bounded whatever their number.
+Passages overlap by RUN - 1 words, so each run lies whole in one. A passage is searched only if it holds a pair of
+neighbouring words chosen for one of the items' runs (of each run the pair of least hash): a passage that holds a run
+holds its pair, so none is missed; pairs are found for a whole batch at once. Documents are read once and never shuffled
+before the verified pairs. The items are a stated, fixed set; they are indexed in shards of at most ``SHARD`` items with
+the statistics of all items, so what is sent to the executors is bounded whatever their number and scores do not depend
+on the shards. Each further shard reads the documents once more.
 
 NULL and empty documents and items shorter than a run give no pair; repeated items each get their own.
 """
@@ -18,7 +21,10 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from polyglean.functions.text import WHITE
@@ -38,17 +44,21 @@ def words(text: Column) -> Column:
 
 
 class Index:
-    """BM25 index of a shard of items with block maxima and per-item thresholds."""
+    """BM25 index of a shard of items with block maxima, per-item thresholds and the pairs chosen for their runs.
 
-    def __init__(self, items: list[tuple[int, list[str]]], run: int = RUN):
+    ``df``, ``total``, ``mean``: in how many of all items each word is, their number and mean length; of the shard itself
+    if not given.
+    """
+
+    def __init__(self, items: list[tuple[int, list[str]]], run: int = RUN, df: dict[str, int] | None = None, total: int | None = None, mean: float | None = None):
         self.run = run
         items = [(i, list(ws)) for i, ws in items if len(ws) >= run]
         self.ids = [i for i, _ in items]
         self.runs = [{tuple(ws[k : k + run]) for k in range(len(ws) - run + 1)} for _, ws in items]
-        mean = sum(len(ws) for _, ws in items) / max(1, len(items))
         counts = [Counter(ws) for _, ws in items]
-        df = Counter(t for c in counts for t in c)
-        idf = {t: math.log(1 + (len(items) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
+        mean = mean or sum(len(ws) for _, ws in items) / max(1, len(items))
+        df, total = df or Counter(t for c in counts for t in c), total or len(items)
+        idf = {t: math.log(1 + (total - df[t] + 0.5) / (df[t] + 0.5)) for c in counts for t in c}
         weight = [
             {t: idf[t] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ws) / mean)) for t, f in c.items()}
             for c, (_, ws) in zip(counts, items)
@@ -66,6 +76,29 @@ class Index:
         for t, p in post.items():
             tops = [max(x for _, x in p[k : k + BLOCK]) for k in range(0, len(p), BLOCK)]
             self.lists[t] = ([n for n, _ in p], [x for _, x in p], tops, max(tops))
+        self.words = pa.array(list(post), pa.string())
+        place = {t: n for n, t in enumerate(post)}
+        pairs = {self.pair(run) for own in self.runs for run in own} if run > 1 else set()
+        self.pairs = np.array(sorted(place[a] * len(post) + place[b] for a, b in pairs), np.int64)
+
+    @staticmethod
+    def pair(run: tuple[str, ...]) -> tuple[str, str]:
+        """The neighbours of least hash: runs that overlap mostly share it."""
+        return min(zip(run, run[1:]), key=lambda p: (xxhash.xxh64_intdigest("\n".join(p).encode("utf-8", "surrogatepass")), p))
+
+    def places(self, tokens: pa.ListArray) -> np.ndarray:
+        """Where in the words of all rows, one after the other, a chosen pair begins."""
+        at = tokens.offsets.to_numpy()
+        flat = tokens.values.slice(at[0], at[-1] - at[0])
+        if len(flat) < 2 or not len(self.pairs):
+            return np.zeros(0, np.int64)
+        coded = flat.dictionary_encode()
+        known = pc.fill_null(pc.index_in(coded.dictionary, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        w = known[coded.indices.to_numpy()]
+        code = np.where((w[:-1] >= 0) & (w[1:] >= 0), w[:-1] * len(self.words) + w[1:], -1)
+        first = np.flatnonzero(np.isin(code, self.pairs))
+        last = at[1:][np.diff(at) > 0] - at[0] - 1  # a pair lies in one row
+        return first[~np.isin(first, last)]
 
     def search(self, terms: list[str]) -> list[tuple[int, float]]:
         """All (item number, score) whose score for the distinct ``terms`` reaches the item's threshold."""
@@ -129,29 +162,48 @@ class Index:
         return out
 
 
+def _passages(begin: int, end: int, places: np.ndarray, run: int) -> list[tuple[int, int]]:
+    """(begin, end) of the passages of one document that hold one of the pairs at ``places``, in order."""
+    step, out = PASSAGE - run + 1, set()
+    for p in places - begin:
+        out.update(range(max(0, -(-(p + 2 - PASSAGE) // step)), p // step + 1))
+    spans = [(begin + k * step, min(begin + k * step + PASSAGE, end)) for k in sorted(out)]
+    return [(a, b) for a, b in spans if a == begin or end - a >= run]
+
+
 def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, score, passages): documents that hold ``run`` or more consecutive words of an item."""
     spark = documents.sparkSession
-    ws = spread(documents.select("doc_id", "text")).select("doc_id", words(F.col("text")).alias("ws"))
-    starts = F.sequence(F.lit(0), F.size("ws") - run, F.lit(PASSAGE - run + 1))
-    passages = (
-        ws.where(F.size("ws") >= run)
-        .select("doc_id", "ws", F.explode(starts).alias("at"))
-        .select("doc_id", F.slice("ws", F.col("at") + 1, F.lit(PASSAGE)).alias("ws"))
-    )
-    total = items.count()
-    out = None
-    for k in range(max(1, -(-total // SHARD))):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-total // SHARD)))) == k)
-        rows = own.select("item_id", words(F.col("text")).alias("ws")).collect()  # a shard of the stated query set
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], run))
-
-        def find(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+    ws = spread(documents.select("doc_id", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), words(F.col("text")).alias("ws"))
+    ws = ws.where(F.size("ws") >= run)
+    worded = items.select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") >= run)
+    total, mean = worded.agg(F.count(F.lit(1)), F.avg(F.size("ws"))).first()
+    shards = max(1, -(-total // SHARD))
+    df = worded.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    shard, out = F.pmod(F.xxhash64("item_id"), F.lit(shards)), None
+    for k in range(shards):
+        own = worded.where(shard == k)
+        rows = own.collect()  # a shard of the stated query set, and how often its words are in all items
+        used = own.select(F.explode("ws").alias("w")).distinct()
+        counts = dict(df.join(used, "w", "left_semi").collect()) if shards > 1 else None
+        index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], run, counts, total, mean))
+
+        def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             ix = index.value
-            for pdf in batches:
-                hits = [(d, i, s) for d, ws in zip(pdf["doc_id"], pdf["ws"]) for i, s in ix.verified(list(ws))]
-                yield pd.DataFrame(hits, columns=["doc_id", "item_id", "score"])
-
-        part = passages.mapInPandas(find, "doc_id BIGINT, item_id BIGINT, score DOUBLE")
+            for batch in batches:
+                ids, tokens = batch.column(0).to_pylist(), batch.column(1)
+                at = tokens.offsets.to_numpy()
+                places, hits = ix.places(tokens), []
+                rows = np.searchsorted(at - at[0], places, "right") - 1
+                for r in np.unique(rows):
+                    begin, end = int(at[r] - at[0]), int(at[r + 1] - at[0])
+                    own = tokens.values.slice(at[r], end - begin).to_pylist()
+                    for a, b in _passages(0, end - begin, places[rows == r] - begin, run):
+                        hits += [(ids[r], i, s) for i, s in ix.verified(own[a:b])]
+                cols = list(zip(*hits)) or [[], [], []]
+                kinds = (pa.int64(), pa.int64(), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "score"])
+
+        part = ws.mapInArrow(find, "doc_id BIGINT, item_id BIGINT, score DOUBLE")
         out = part if out is None else out.unionByName(part)
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("passages"))

@@ -60,6 +60,43 @@ def test_leaks(spark):
     assert lk.leaks(spark.createDataFrame(docs, schema), spark.createDataFrame([], "item_id bigint, text string")).count() == 0
 
 
+def test_shards_and_pairs_change_nothing(spark, monkeypatch):
+    """Scores and passages are those of all passages searched against one index."""
+    rng = random.Random(8)
+    vocab = [f"word{k}" for k in range(40)]
+    items = [(n, " ".join(rng.choice(vocab) for _ in range(rng.randint(8, 30)))) for n in range(30)]
+    docs = []
+    for d in range(40):
+        w = [rng.choice(vocab) for _ in range(rng.randint(0, 200))]
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(w))
+            w[at:at] = rng.choice(items)[1].split()
+        docs.append((d, " ".join(w)))
+    schema = "doc_id bigint, text string"
+    run = lambda: {tuple(r) for r in lk.leaks(spark.createDataFrame(docs, schema), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    whole, index = run(), lk.Index([(n, t.split()) for n, t in items])
+    want = {}
+    for d, t in docs:
+        w, step = t.split(), lk.PASSAGE - lk.RUN + 1
+        for k in range(0, max(0, len(w) - lk.RUN + 1), step):
+            for i, s in index.verified(w[k : k + lk.PASSAGE]):
+                best, n = want.get((d, i), (0.0, 0))
+                want[d, i] = (max(best, s), n + 1)
+    assert {(d, i): (pytest.approx(s), n) for d, i, s, n in whole} == want and want
+    monkeypatch.setattr(lk, "SHARD", 7)
+    assert {(d, i, round(s, 9), n) for d, i, s, n in run()} == {(d, i, round(s, 9), n) for d, i, s, n in whole}
+
+
+def test_small_sources_give_their_last_part(spark):
+    docs = [(n, "word " * 9 + "word", "big") for n in range(900)] + [(9000, "one two three", "small")]
+    target = [("big", 0.9, 1), ("small", 0.1, 2)]
+    m = mx.Mixture(spark.createDataFrame(docs, "doc_id bigint, text string, source string"), spark.createDataFrame(target, "source string, target_share double, max_repeats int"), shards=2, blocks=50)
+    got = {r["source"]: r for r in m.shares().collect()}
+    assert got["big"]["used_tokens"] == got["big"]["available_tokens"] and got["small"]["used_tokens"] == 2 * got["small"]["available_tokens"]
+    quotas = m.quota_table().groupBy("source").sum("tokens").collect()
+    assert {r[0]: r[1] for r in quotas} == {s: got[s]["used_tokens"] for s in got}
+
+
 def test_sainte_lague():
     q = mx.sainte_lague({"a": 0.53, "b": 0.24, "c": 0.23, "d": 0.0}, {"a": 99, "b": 99, "c": 99, "d": 99}, 1, 7)
     assert q == [{"a": 3, "b": 2, "c": 2, "d": 0}]
