@@ -1,7 +1,7 @@
 """Problem 7: mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
 Sizes are tokens of a public tokenizer. The mixture is cut into shards of equally many blocks of equally many tokens;
-each block goes to the source with the highest quotient share / (2 * blocks so far + 1) among those that still have
+each block, the last of a source may be a part of one, goes to the source with the highest quotient share / (2 * blocks so far + 1) among those that still have
 text, which gives integer quotas per shard. A source's documents stand on a tape in seeded order, repeated up to
 max_repeats times; its blocks are consecutive stretches of the tape, so documents come again only when all have been
 used as often. A document belongs to the block its first token lies in and is taken whole.
@@ -15,6 +15,7 @@ target source are left out. A source without documents gets no blocks; shares it
 
 from __future__ import annotations
 
+import base64
 import heapq
 from collections.abc import Iterator
 
@@ -30,16 +31,14 @@ HASH_BUCKETS = 4096
 
 
 def count_tokens(df: DataFrame, key: str, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(key, n_tokens) with the tokens of the whole text; NULL -> 0."""
+    """(key, n_tokens) with the tokens of the whole text; NULL -> 0. The vocabulary is read here and sent to the tasks."""
+    with open(tokenizer, "rb") as f:
+        shared = df.sparkSession.sparkContext.broadcast({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import base64
-
         import tiktoken
 
-        with open(tokenizer, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        enc = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
         for pdf in batches:
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in pdf["t"]]
             yield pd.DataFrame({"k": pdf["k"], "n_tokens": n})
@@ -97,8 +96,8 @@ class Mixture:
         )
         self.available = {r[0]: r[1] for r in self.docs.groupBy("source").agg(F.sum("n_tokens")).collect()}
         total = total_tokens or sum(self.available.values())
-        self.block_tokens = max(1, total // (shards * blocks))
-        caps = {s: self.available.get(s, 0) * (r or 0) // self.block_tokens for s, (_, r) in self.target.items()}
+        self.block_tokens = max(1, -(-total // (shards * blocks)))
+        caps = {s: -(-self.available.get(s, 0) * (r or 0) // self.block_tokens) for s, (_, r) in self.target.items()}
         self.quotas = sainte_lague({s: w or 0 for s, (w, _) in self.target.items()}, caps, shards, blocks)
         rows = []
         for s, (w, r) in self.target.items():
@@ -120,9 +119,11 @@ class Mixture:
         return at.select("doc_id", "source", "copy", shard.alias("shard"), "n_tokens")
 
     def quota_table(self) -> DataFrame:
-        """(source, shard, blocks, tokens): the integer quotas."""
+        """(source, shard, blocks, tokens): the integer quotas; the last block of a source ends where its tape does."""
         n = F.col("until") - F.col("first")
-        return self.plan.select("source", "shard", n.alias("blocks"), (n * self.block_tokens).alias("tokens"))
+        tape = F.col("available") * F.coalesce("max_repeats", F.lit(0))
+        tokens = F.least(F.col("until") * self.block_tokens, tape) - F.least(F.col("first") * self.block_tokens, tape)
+        return self.plan.select("source", "shard", n.alias("blocks"), tokens.alias("tokens"))
 
     def shares(self) -> DataFrame:
         """One row per target source: what it has, its quota, what was used, and the share reached beside the target."""
