@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from polyglean.functions.text import clean_html, is_cjk, normalize_link, title_variants, tokenize
-from polyglean.functions.words import FUNCTION_WORDS, METAPHORS
+from polyglean.functions.words import FUNCTION_WORDS
 
 # Supported languages, words that only describe grammar, limits.
 LANGUAGES = {
@@ -32,8 +32,20 @@ MAX_SYNONYMS = 8
 MAX_DEFINITIONS = 4
 MAX_SENSES = 2
 
-#: Words never linked, unless a caller passes a list of its own: longer stop lists are a parameter.
-BLOCKED = [*FUNCTION_WORDS, *GRAMMAR, *METAPHORS]
+#: Words that definitions are written with: they define others and say nothing as a link themselves. Own list.
+DEFINING = (
+    "ability act action activity amount anybody anyone anything area aspect attribute become behavior belonging body bring case category certain change characteristic "
+    "class collection come common concerning condition consisting containing degree denoting describe describing different direction effect element entity event "
+    "everybody everyone everything example expressing extent fact feature find general generally get give go group having help idea include including indicating "
+    "instance involving item keep kind know lack large like little long look main make making manner mark matter mean meaning means measure member method name named "
+    "nature new nobody nothing number object often old order originally part particular pertaining piece place point position possess possessing practice process "
+    "produce property put quality quantity quick range related relating relation represent represents result say see sense serve set shape show similar small "
+    "somebody someone something sort specific state step strong style subject substance system take tell thing things think time type unit unspecified usage use used "
+    "useful using usual usually various verb noun adjective adverb way whole word words work"
+).split()
+
+#: Words never linked, unless a caller passes a list of its own.
+BLOCKED = list(dict.fromkeys([*FUNCTION_WORDS, *GRAMMAR, *DEFINING]))
 
 _STRIP = r"^[\s ]+|[\s ]+$"
 
@@ -68,28 +80,35 @@ def glosses(definition: Column, word: Column, blocked: list[str] | None = None)
     return F.filter(one, lambda t: acceptable(t, word, blocked) & (F.length(t) > 2))
 
 
+def templates(text: Column, names: list[str]) -> Column:
+    """Parts of the templates of the given names, in page order: name, language code and parameters."""
+    parts = F.transform(F.regexp_extract_all(text, F.lit(r"\{\{([^{}]+)\}\}"), F.lit(1)), lambda t: F.split(t, r"\|"))
+    return F.filter(parts, lambda p: p[0].isin(names) & (F.size(p) > 2) & p[1].rlike("^[a-z-]{2,8}$"))
+
+
 def wikitext_synonyms(pages: DataFrame, blocked: list[str] | None = None) -> DataFrame:
     """(word, synonyms): up to 8 unnamed parameters of synonym templates, in page order.
 
     ``pages``: (word, section_lang, text); a NULL section language accepts every supported one.
     """
-    found = F.expr(r"regexp_extract_all(text, '\\{\\{syn(?:onyms)?\\|[a-z-]{2,8}\\|[^}]+\\}\\}', 0)")
-    t = pages.select("word", "section_lang", F.posexplode(found).alias("n", "t"))
-    pattern = r"(?s)^\{\{syn(?:onyms)?\|([a-z-]+)\|(.*)\}\}$"
-    code, body = F.regexp_extract("t", pattern, 1), F.regexp_extract("t", pattern, 2)
-    allowed = F.when(F.col("section_lang").isNotNull(), code == F.col("section_lang")).otherwise(code.isin(list(LANGUAGES)))
-    p = t.where(allowed).select("word", "n", F.posexplode(F.split(body, r"\|")).alias("k", "p")).where(~F.col("p").contains("="))
+    t = pages.select("word", "section_lang", F.posexplode(templates(F.col("text"), ["syn", "synonyms"])).alias("n", "t"))
+    code = F.col("t")[1]
+    t = t.where(F.when(F.col("section_lang").isNotNull(), code == F.col("section_lang")).otherwise(code.isin(list(LANGUAGES))))
+    p = t.select("word", "n", F.posexplode(F.slice("t", 3, 1 << 20)).alias("k", "p")).where(~F.col("p").contains("="))
     terms = p.select("word", "n", "k", normalize_link(F.col("p")).alias("term"))
     terms = terms.where(acceptable(F.col("term"), F.col("word"), blocked) & (F.length("term") > 2))
     return _in_order(terms, "synonyms", MAX_SYNONYMS)
 
 
+#: Translation templates of the dictionary: plain, with a link to the other edition, in tables, to be checked.
+TRANSLATIONS = [f"{t}{x}" for t in ("t", "tt") for x in ("", "+", "-check", "+check", "-simple")]
+
+
 def wikitext_translations(pages: DataFrame, blocked: list[str] | None = None) -> DataFrame:
     """(word, translations): terms of translation templates in the English section, at most 3 per language."""
     english = pages.where("section_lang IS NULL OR section_lang = 'en'").select("word", language_section(F.col("text"), "English").alias("text"))
-    found = F.expr(r"regexp_extract_all(text, '\\{\\{tt?(?:\\+|-check|\\+check|-simple)?\\|[a-z-]{2,8}\\|[^}|]+', 0)")
-    t = english.select("word", F.posexplode(found).alias("n", "t"))
-    t = t.select("word", "n", F.split("t", r"\|")[1].alias("code"), normalize_link(F.split("t", r"\|")[2]).alias("term"))
+    t = english.select("word", F.posexplode(templates(F.col("text"), TRANSLATIONS)).alias("n", "t"))
+    t = t.select("word", "n", F.col("t")[1].alias("code"), normalize_link(F.col("t")[2]).alias("term"))
     t = t.where(F.col("code").isin(list(LANGUAGES)) & acceptable(F.col("term"), F.col("word"), blocked))
     first = t.groupBy("word", "term").agg(F.min(F.struct("n", "code")).alias("f")).select("word", "term", "f.n", "f.code")
     rank = F.row_number().over(W.partitionBy("word", "code").orderBy("n"))

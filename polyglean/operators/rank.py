@@ -47,10 +47,10 @@ def term_weights(resolved: DataFrame, vocab: DataFrame, meaning: DataFrame | Non
 
 
 def term_stats(weighted: DataFrame, index: Index) -> DataFrame:
-    """(query_id, qpos, term, df, idf, weight): terms not indexed have df 0, idf 0 and weight 1."""
+    """(query_id, qpos, term, df, postings_count, idf, weight): terms not indexed have df 0, idf 0 and weight 1."""
     df = F.coalesce(F.col("df"), F.lit(0))
     out = weighted.join(index.vocab.select("term", "df"), "term", "left")
-    return out.select("query_id", "qpos", "term", df.alias("df"), F.round(idf(df, F.lit(float(index.total))), 4).alias("idf"), F.when(df > 0, F.col("weight")).otherwise(1.0).alias("weight"))
+    return out.select("query_id", "qpos", "term", df.alias("df"), df.alias("postings_count"), F.round(idf(df, F.lit(float(index.total))), 4).alias("idf"), F.when(df > 0, F.col("weight")).otherwise(1.0).alias("weight"))
 
 
 def _matches(weighted: DataFrame, index: Index) -> DataFrame:
@@ -86,16 +86,19 @@ def ranked(scored: DataFrame, documents: DataFrame, lang: str = "all", limit: in
 
     The best score of a query is an aggregate over all languages, taken before the filter.
     """
-    scored = materialize(scored, "scored")  # read for the best score and for the rows
-    best = scored.groupBy("query_id").agg(F.max("score").alias("best"))
-    # only id and lang take part before the cut; texts are joined to the rows that stay
-    rows = scored.join(documents.select("doc_id", "lang"), "doc_id")
-    if lang != "all":
-        rows = rows.where(F.col("lang") == lang)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(*document_order()))
-    top = rows.withColumn("rank", rank).where(F.col("rank") <= max(limit, 1))
+    cut = F.col("rank") <= max(limit, 1)
+    if lang == "all":  # the first row has the best score: nothing but the rows that stay is joined
+        rows = scored.withColumn("rank", rank).where(cut)
+        rows = rows.withColumn("best", F.max("score").over(W.partitionBy("query_id")))
+        top = rows.join(documents.select("doc_id", "lang"), "doc_id")
+    else:
+        scored = materialize(scored, "scored")  # read for the best score and for the rows
+        best = scored.groupBy("query_id").agg(F.max("score").alias("best"))
+        rows = scored.join(documents.where(F.col("lang") == lang).select("doc_id", "lang"), "doc_id")
+        top = rows.withColumn("rank", rank).where(cut).join(small(best), "query_id")
     pct = F.round(100 * F.col("score") / F.when(F.col("best") > 0, F.col("best")).otherwise(1.0), 1)
-    return top.join(small(best), "query_id").withColumn("relative_score_pct", pct).drop("best")
+    return top.withColumn("relative_score_pct", pct).drop("best")
 
 
 def attribution(breakdown: Column, via: str) -> Column:

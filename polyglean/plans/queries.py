@@ -460,6 +460,11 @@ def lru_replay(s, d):
     return cache.lru_stats(table(s, d, "events"), "user_id", "event_id", 50)
 
 
+@query("SELECT row_number() OVER (ORDER BY at DESC, key DESC) AS place, key FROM (SELECT user_id AS key, max(event_id) AS at FROM events WHERE user_id IS NOT NULL GROUP BY user_id) ORDER BY place LIMIT 10")
+def lru_recent_keys(s, d):
+    return cache.recent_keys(table(s, d, "events"), "user_id", "event_id")
+
+
 # ---- without SQL: sequential traces and highlighting ----
 @query()
 def highlighted(s, d):

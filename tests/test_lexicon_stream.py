@@ -1,10 +1,10 @@
 import datetime as dt
 import json
-import time
 
+import pytest
 from pyspark.sql import functions as F
 
-from polyglean.operators import lexicon as lx
+from polyglean.operators import index as ix, lexicon as lx
 from polyglean.sources.tables import LinkStore, read_json_corpus, require_valid, write_corpus
 from polyglean.streaming.ingest import LiveIndex, json_changes
 
@@ -107,3 +107,37 @@ def test_stream(spark, tmp_path):
         assert live.documents.count() == 1
     finally:
         q.stop()
+
+
+def test_live_index_survives_a_restart(spark, tmp_path, monkeypatch):
+    """An index opened again on its folder is the one left; a failed batch changes nothing; segments are merged."""
+    from polyglean.streaming import ingest
+
+    monkeypatch.setattr(ingest, "SEGMENTS", 2)
+    d = "term string, found boolean, complete boolean, summary string, url string, direct_glosses array<string>, inflection_roots array<string>, thesaurus_synonyms array<string>, links array<struct<term: string, cost: int, hub_side: string>>"
+    dictionary = spark.createDataFrame([("kitten", True, True, "s", "u", [], [], [], [("gatito", 1, "self")])], d)
+    path, docs = f"file://{tmp_path}/live", {}
+    batches = [
+        [("1", "pets", "a kitten", "add"), ("2", "cars", "wheel wheel", "add")], [("1", None, None, "delete"), ("3", "more", "kitten wheel", "add")],
+        [("2", "cars", "motor", "add")], [("4", "x y", "z", "add"), ("9", None, None, "delete")], [("3", "more", "none", "add")],
+    ]
+    shape = lambda i: {name: sorted(tuple(r) for r in getattr(i, name).select(*cols).collect()) for name, cols in (("documents", ["doc_id", "title", "text", "doc_length"]), ("postings", ["term", "doc_id", "tf"]), ("vocab", ["term", "df"]))}
+    for n, batch in enumerate(batches):
+        changes = spark.createDataFrame([(i, t, "en", x, op, None) for i, t, x, op in batch], ingest.CHANGE_SCHEMA)
+        live = LiveIndex(spark, dictionary, path=path)
+        if n == 2:
+            monkeypatch.setattr(live.files, "put", None)
+            with pytest.raises(TypeError):
+                live.apply(changes, n)
+            live = LiveIndex(spark, dictionary, path=path)
+        live.apply(changes, n)
+        LiveIndex(spark, dictionary, path=path).apply(changes, n)  # seen before
+        for i, t, x, op in batch:
+            docs.pop(i, None)
+            if op == "add":
+                docs[i] = (i, t, "en", x)
+        again = LiveIndex(spark, dictionary, path=path)
+        built = ix.build(spark.createDataFrame(list(docs.values()), "doc_id string, title string, lang string, text string"))
+        assert shape(again.index()) == shape(built) and again.index().total == built.total
+    assert len(again.state["segments"]) <= 3 and again.done == 4 and len(again.reports) == 5
+    assert {(r["a"], r["b"]) for r in again.links.collect()} == {("gatito", "kitten")} and [r["term"] for r in again.resolved.collect()] == ["kitten"]

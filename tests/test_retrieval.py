@@ -189,8 +189,8 @@ def test_lru_replay(spark, block, monkeypatch):
     rng = random.Random(1)
     log = [(n, rng.randint(0, 12)) for n in range(300)]
     df = spark.createDataFrame(log, "at int, key int")
-    d = {r["seq"]: r["distance"] for r in cache.stack_distances(df, "key", "at", block).collect()}
-    for capacity in (1, 3, 8):
+    for capacity in (1, 3, 8, 20):
+        d = {r["seq"]: r["distance"] for r in cache.stack_distances(df, "key", "at", capacity, block).collect()}
         lru, hits = OrderedDict(), 0
         for n, k in log:
             if k in lru:
@@ -202,6 +202,7 @@ def test_lru_replay(spark, block, monkeypatch):
                     lru.popitem(last=False)
         assert sum(x is not None and x < capacity for x in d.values()) == hits
     assert cache.lru_stats(df, "key", "at", 3).first()["size"] == 3
+    assert [r["key"] for r in cache.recent_keys(df, "key", "at", 3).collect()] == list(dict.fromkeys(k for _, k in reversed(log)))[:3]
 
 
 def test_full_search(spark, index):
