@@ -128,9 +128,13 @@ def naive_scan(docs: DataFrame, query: list[str], with_title: bool = True) -> Da
 
 
 def catalog(docs: DataFrame) -> DataFrame:
-    """(doc_id, title, lang, text, word_count, snippet); the words are the indexed tokens of title and text."""
+    """(doc_id, title, lang, text, word_count, snippet, total), by id, numeric ids first.
+
+    The words are the indexed tokens of title and text; total is the number of all documents.
+    """
     cut = snippet(F.col("text"), 160).alias("snippet")
-    return tokenized(docs).select("doc_id", "title", "lang", "text", F.size("tokens").alias("word_count"), cut)
+    out = tokenized(docs).select("doc_id", "title", "lang", "text", F.size("tokens").alias("word_count"), cut)
+    return out.withColumn("total", F.lit(docs.count())).orderBy(*numeric_order(F.col("doc_id")))
 
 
 def substring_filter(docs: DataFrame, text: str, lang: str = "all") -> DataFrame:

@@ -57,20 +57,34 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.posexplode(tokenize(F.col("q"))).alias("qpos", "raw"))
 
 
+def _words(queries: DataFrame, graphs: Graphs) -> DataFrame:
+    return graphs.words if graphs.words is not None else queries.sparkSession.createDataFrame([], "word STRING, label STRING")
+
+
+# each stage is used more than once behind it: it is written once instead of being planned again and again
+def resolve_terms(queries: DataFrame, index: Index, graphs: Graphs, fuzzy_on: bool = True, meaning_on: bool = True) -> DataFrame:
+    """(query_id, qpos, raw, term, distance)."""
+    known = graphs.known if meaning_on else None
+    return materialize(fuzzy.resolve(query_terms(queries), index.vocab, _words(queries, graphs), known, fuzzy_on), "resolved")
+
+
+def meaning_terms(resolved: DataFrame, index: Index, graphs: Graphs) -> DataFrame:
+    """(query_id, term, cost, path) of indexed words of the same meaning."""
+    return materialize(mg.expand_queries(resolved.select("query_id", "qpos", "term"), graphs.links, index.vocab, graphs.overlay), "meanings")
+
+
+def synonym_terms(resolved: DataFrame, graphs: Graphs) -> DataFrame:
+    """(query_id, term) of the synonyms of the query terms."""
+    reach = syn.closure(resolved.select(F.col("term").alias("word")), graphs.words)
+    asked = resolved.select("query_id", F.col("term").alias("word")).distinct()
+    return asked.join(reach, "word").select("query_id", F.col("synonym").alias("term"))
+
+
 def weigh(queries: DataFrame, index: Index, graphs: Graphs, fuzzy_on: bool = True, synonyms_on: bool = True, meaning_on: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """(resolved, weighted, meaning) of a table of queries (query_id, q)."""
-    terms = query_terms(queries)
-    words = graphs.words if graphs.words is not None else queries.sparkSession.createDataFrame([], "word STRING, label STRING")
-    known = graphs.known if meaning_on else None
-    # each stage is used more than once below: it is written once instead of being planned again and again
-    resolved = materialize(fuzzy.resolve(terms, index.vocab, words, known, fuzzy_on), "resolved")
-    means = None
-    if meaning_on and graphs.links is not None:
-        means = materialize(mg.expand_queries(resolved.select("query_id", "qpos", "term"), graphs.links, index.vocab, graphs.overlay), "meanings")
-    near = None
-    if synonyms_on and graphs.words is not None:
-        reach = syn.closure(resolved.select(F.col("term").alias("word")), words)
-        near = resolved.select("query_id", F.col("term").alias("word")).distinct().join(reach, "word").select("query_id", F.col("synonym").alias("term"))
+    resolved = resolve_terms(queries, index, graphs, fuzzy_on, meaning_on)
+    means = meaning_terms(resolved, index, graphs) if meaning_on and graphs.links is not None else None
+    near = synonym_terms(resolved, graphs) if synonyms_on and graphs.words is not None else None
     weighted = rank.term_weights(resolved.select("query_id", "qpos", "term"), index.vocab, means, near)
     return resolved, materialize(weighted, "weighted"), means
 
@@ -90,10 +104,10 @@ def browse(index: Index, lang: str = "all", limit: int = 15) -> DataFrame:
 
 
 def search(spark: SparkSession, index: Index, query: Query, graphs: Graphs = Graphs()) -> Result:
-    """One query with breakdown, attribution, meaning paths, snippets and highlighting, and a trace of its stages.
+    """One query with breakdown, attribution, meaning paths, snippets and highlighting, and a trace of its six stages.
 
-    A failing meaning stage leaves the query without meaning terms. Texts are joined, cut and highlighted only for the
-    rows that stay.
+    A failing meaning stage leaves the query without meaning terms; the trace holds its error. Texts are joined, cut and
+    highlighted only for the rows that stay.
     """
     if not query.q:
         return Result(browse(index, query.lang, query.limit), trace={"mode": "browse", "total_docs": index.total, "stages": []})
@@ -105,25 +119,42 @@ def search(spark: SparkSession, index: Index, query: Query, graphs: Graphs = Gra
     began = clock()
     one = spark.createDataFrame([(0, query.q)], "query_id INT, q STRING")
     found = one.select(scripts(F.col("q")).alias("s"), tokenize(F.col("q")).alias("t")).first()
-    staged("tokenize", began, terms=list(found["t"]), scripts=list(found["s"]))
+    staged("tokens", began, terms=list(found["t"]), scripts=list(found["s"]))
+
     began = clock()
-    try:
-        resolved, weighted, means = weigh(one, index, graphs, query.fuzzy, query.synonyms, query.meaning)
-        paths = {r["term"]: list(r["path"]) for r in means.collect()} if means is not None else {}
-    except Exception:
-        resolved, weighted, means = weigh(one, index, graphs, query.fuzzy, query.synonyms, False)
-        paths = {}
-    # the terms of one query
-    terms = resolved.orderBy("qpos").collect()
-    weights = weighted.orderBy("qpos").collect()
-    staged("resolve and expand", began, corrections={r["raw"]: r["term"] for r in terms if r["distance"] is not None})
+    resolved = resolve_terms(one, index, graphs, query.fuzzy, query.meaning)
+    terms = resolved.orderBy("qpos").collect()  # of one query
+    pruned = fuzzy.pruned_comparisons(resolved.where("distance IS NOT NULL").select(F.col("raw").alias("word")), index.vocab).agg(F.sum("pruned")).first()[0]
+    staged("corrections", began, enabled=query.fuzzy, corrections={r["raw"]: r["term"] for r in terms if r["distance"] is not None}, pruned_comparisons=pruned or 0)
+
+    began, means, paths, problem = clock(), None, {}, None
+    if query.meaning and graphs.links is not None:
+        try:
+            means = meaning_terms(resolved, index, graphs)
+            paths = {r["term"]: list(r["path"]) for r in means.orderBy("cost", "term").collect()}
+        except Exception as error:  # a search goes on without meanings; what went wrong is told
+            means, paths, problem = None, {}, f"{type(error).__name__}: {error}"
+    staged("meanings", began, enabled=query.meaning, terms=list(paths), paths={t: " → ".join(p) for t, p in paths.items()}, **({"error": problem} if problem else {}))
+
+    began = clock()
+    near = synonym_terms(resolved, graphs) if query.synonyms and graphs.words is not None else None
+    weighted = materialize(rank.term_weights(resolved.select("query_id", "qpos", "term"), index.vocab, means, near), "weighted")
+    weights = weighted.orderBy("qpos").collect()  # of one query
+    staged("synonyms", began, enabled=query.synonyms, seeds=[r["term"] for r in terms], terms=[r["term"] for r in weights if r["via"] == "synonym"])
+
+    began = clock()
+    stats = rank.term_stats(weighted, index).orderBy("qpos").collect()  # of one query
+    staged("postings", began, terms=[r["term"] for r in weights], term_stats=[r.asDict() for r in stats])
+
     began = clock()
     marks = {*(r["raw"] for r in terms), *(r["term"] for r in terms), *paths}
     if query.synonyms and graphs.words is not None and marks:
         seeds = spark.createDataFrame([(w,) for w in sorted(marks)], "word STRING")
         marks |= {r["synonym"] for r in syn.closure(seeds, graphs.words).collect()}
     pattern = highlight_pattern(sorted(marks))
-    top = rank.ranked(rank.scores_with_breakdown(weighted, index), index.documents, query.lang, query.limit)
+    scored = materialize(rank.scores_with_breakdown(weighted, index), "scored")
+    matched = scored.agg(F.count(F.lit(1)).alias("n"), F.max("score").alias("top")).first()
+    top = rank.ranked(scored, index.documents, query.lang, query.limit)
     texts = index.documents.select("doc_id", "title", "text", "doc_length")
     chain = F.create_map(*[F.lit(x) for t, p in paths.items() for x in (t, " → ".join(p))]) if paths else None
     by = lambda via: rank.attribution(F.col("breakdown"), via)
@@ -134,6 +165,7 @@ def search(spark: SparkSession, index: Index, query: Query, graphs: Graphs = Gra
         by("exact").alias("matched_by_exact"), by("meaning").alias("matched_by_meaning"), by("synonym").alias("matched_by_synonym"),
         (F.map_from_entries(F.transform(by("meaning"), lambda t: F.struct(t, F.element_at(chain, t)))) if chain is not None else F.lit(None).cast("map<string,string>")).alias("meaning_paths"),
     ).orderBy("rank")
-    staged("rank", began, terms=[r["term"] for r in weights])
+    staged("scores", began, matched_docs=matched["n"], top_score=round(matched["top"] or 0.0, 4))
     corrected = " ".join(r["term"] for r in terms) if any(r["distance"] is not None for r in terms) else None
-    return Result(rows, weighted, resolved, {"mode": "search", "total_docs": index.total, "corrected_query": corrected, "stages": stages})
+    head = {"mode": "search", "total_docs": index.total, "vocab_size": index.vocab.count(), "scripts_detected": list(found["s"]), "corrected_query": corrected}
+    return Result(rows, weighted, resolved, {**head, "stages": stages})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from polyglean.functions import distance as dist, text as tx
 from polyglean.functions.words import FUNCTION_WORDS
-from polyglean.operators import cache, fuzzy, index as ix, meaning as mg, prefix as px, rank, search as se, synonyms as syn
+from polyglean.operators import cache, fuzzy, index as ix, lexicon as lx, meaning as mg, prefix as px, rank, search as se, synonyms as syn
 from polyglean.plans import oracle as o
 from polyglean.runtime import materialize
 from polyglean.sources.tables import documents, latest_lookups, table
@@ -96,10 +96,10 @@ def clean_html(s, d):
     return table(s, d, "dictionary").select("term", tx.clean_html(F.col("summary")).alias("summary"))
 
 
-@query("SELECT term, regexp_matches(term, '[\\x{4e00}-\\x{9fff}]') AS cjk, array_to_string(list_distinct([term, upper(substring(term,1,1)) || substring(term,2)]), '|') IS NOT NULL AS ok FROM dictionary")
+@query("SELECT term, regexp_matches(term, '[\\x{4e00}-\\x{9fff}]') AS cjk, term || CASE WHEN upper(substring(term, 1, 1)) <> substring(term, 1, 1) THEN '|' || upper(substring(term, 1, 1)) || substring(term, 2) ELSE '' END AS variants FROM dictionary")
 def cjk_terms(s, d):
     v = tx.title_variants(F.col("term"))
-    return table(s, d, "dictionary").select("term", tx.is_cjk(F.col("term")).alias("cjk"), F.array_join(v, "|").isNotNull().alias("ok"))
+    return table(s, d, "dictionary").select("term", tx.is_cjk(F.col("term")).alias("cjk"), F.array_join(v, "|").alias("variants"))
 
 
 # ---- index ----
@@ -134,7 +134,7 @@ def term_details(s, d):
     return ix.term_details(_index(s, d), TERMS).select("term", "doc_freq", "doc_id", "tf", "title", "lang", "snippet")
 
 
-@query(f"{o.BASE} SELECT doc_id, title, lang, text, len(tokens) AS word_count, CASE WHEN length(text) > 160 THEN substring(text, 1, 160) || '...' ELSE text END AS snippet FROM toks")
+@query(f"{o.BASE} SELECT doc_id, title, lang, text, len(tokens) AS word_count, CASE WHEN length(text) > 160 THEN substring(text, 1, 160) || '...' ELSE text END AS snippet, CAST((SELECT count(*) FROM docs) AS INT) AS total FROM toks")
 def corpus_catalog(s, d):
     return ix.catalog(_docs(s, d))
 
@@ -205,75 +205,63 @@ def trie_tree_flat(s, d):
 
 
 # ---- fuzzy ----
-_ASCII = "regexp_full_match(typo, '[a-z]+')"
-_CLOSE = f"""{o.BASE}, asked AS (SELECT DISTINCT typo AS word, CASE WHEN length(typo) <= 3 THEN 0 WHEN length(typo) <= 5 THEN 1 ELSE 2 END AS allowed FROM typo_pair WHERE {_ASCII}),
- av AS (SELECT term, ord FROM vocab WHERE regexp_full_match(term, '[a-z]+')),
- pairs AS (SELECT word, term, ord, levenshtein(word, term) AS dist, allowed FROM asked JOIN av ON abs(length(word) - length(term)) <= allowed WHERE allowed > 0),
+# DuckDB's levenshtein counts bytes: the characters of a pair are mapped to one byte each first
+_BYTES = "".join(chr(c) for c in range(33, 127) if chr(c) not in "'\"")
+_CHARS = lambda a, b: f"array_to_string(list_distinct(regexp_extract_all({a} || {b}, '(?s).')), '')"
+_LEV = lambda a, b: f"levenshtein(translate({a}, {_CHARS(a, b)}, '{_BYTES}'), translate({b}, {_CHARS(a, b)}, '{_BYTES}'))"
+_CLOSE = f"""{o.BASE}, asked AS (SELECT DISTINCT typo AS word, CASE WHEN length(trim(typo)) <= 3 THEN 0 WHEN length(trim(typo)) <= 5 THEN 1 ELSE 2 END AS allowed FROM typo_pair WHERE typo <> ''),
+ pairs AS (SELECT word, term, ord, {_LEV('word', 'term')} AS dist, allowed FROM asked JOIN vocab ON abs(length(word) - length(term)) <= allowed WHERE allowed > 0),
  close AS (SELECT word, arg_min(term, dist * 10000000000000000 + ord) AS closest, CAST(min(dist) AS INT) AS distance FROM pairs WHERE dist <= allowed GROUP BY word)"""
+_SAFE = "raw IN (SELECT term FROM vocab) OR raw IN (SELECT word FROM synonym_cluster WHERE word IS NOT NULL) OR raw IN (SELECT term FROM dictionary WHERE found)"
 
 
-def _ascii_vocab(s, d):
-    return materialize(_index(s, d).vocab, "vocab").where("term RLIKE '^[a-z]+$'")
+def _vocab(s, d):
+    return materialize(_index(s, d).vocab, "vocab")
+
+
+def _typos(s, d):
+    return table(s, d, "typo_pair").where("typo IS NOT NULL")
 
 
-def _ascii_typos(s, d):
-    return table(s, d, "typo_pair").where("typo RLIKE '^[a-z]+$'")
+@query(f"SELECT word, typo, CAST({_LEV('word', 'typo')} AS INT) AS distance FROM typo_pair WHERE word IS NOT NULL AND typo IS NOT NULL")
+def edit_distance_pairs(s, d):
+    return _typos(s, d).where("word IS NOT NULL").select("word", "typo", F.levenshtein("word", "typo").alias("distance"))
 
 
 @query(f"{_CLOSE} SELECT word, closest, distance FROM close")
 def closest_word(s, d):
-    return fuzzy.closest_words(_ascii_typos(s, d).select(F.col("typo").alias("word")), _ascii_vocab(s, d))
+    return fuzzy.closest_words(_typos(s, d).select(F.col("typo").alias("word")), _vocab(s, d))
 
 
 @query(f"{o.BASE}, lens AS (SELECT length(term) AS n, count(*) AS c FROM vocab GROUP BY 1) SELECT word, CAST(coalesce(sum(c) FILTER (abs(length(word) - n) > 2), 0) AS BIGINT) AS pruned FROM (SELECT DISTINCT typo AS word FROM typo_pair WHERE typo IS NOT NULL) CROSS JOIN lens GROUP BY word")
 def pruned_comparisons(s, d):
-    words = table(s, d, "typo_pair").where("typo IS NOT NULL").select(F.col("typo").alias("word"))
-    return fuzzy.pruned_comparisons(words, _index(s, d).vocab)
+    return fuzzy.pruned_comparisons(_typos(s, d).select(F.col("typo").alias("word")), _index(s, d).vocab)
 
 
-@query(f"{_CLOSE} SELECT typo_class, count(*) AS typos, count(closest) AS corrected, CAST(coalesce(sum(CAST(closest = t.word AS INT)), 0) AS BIGINT) AS recovered FROM typo_pair t LEFT JOIN close c ON c.word = t.typo WHERE {_ASCII} AND typo <> t.word AND t.word IS NOT NULL GROUP BY typo_class")
+@query(f"{_CLOSE} SELECT typo_class, count(*) AS typos, count(closest) AS corrected, CAST(coalesce(sum(CAST(closest = t.word AS INT)), 0) AS BIGINT) AS recovered FROM typo_pair t LEFT JOIN close c ON c.word = t.typo WHERE t.typo IS NOT NULL AND typo <> t.word AND t.word IS NOT NULL GROUP BY typo_class")
 def typo_accuracy(s, d):
-    return fuzzy.typo_accuracy(_ascii_typos(s, d), _ascii_vocab(s, d))
-
-
-@query(f"""{_CLOSE}, q AS (SELECT row_number() OVER (ORDER BY typo) AS query_id, typo AS raw FROM (SELECT DISTINCT typo FROM typo_pair WHERE {_ASCII}))
- SELECT raw, CASE WHEN raw IN (SELECT term FROM av) OR raw IN (SELECT word FROM synonym_cluster WHERE word IS NOT NULL) THEN raw ELSE coalesce(closest, raw) END AS term,
- CASE WHEN raw IN (SELECT term FROM av) OR raw IN (SELECT word FROM synonym_cluster WHERE word IS NOT NULL) OR closest = raw THEN NULL ELSE distance END AS distance FROM q LEFT JOIN close ON word = raw""")
-def query_resolution(s, d):
-    raw = _ascii_typos(s, d).select(F.col("typo").alias("raw")).distinct().select(F.lit(1).alias("query_id"), F.lit(0).alias("qpos"), "raw")
-    words = table(s, d, "synonym_cluster").where("word IS NOT NULL").select("word").distinct()
-    return fuzzy.resolve(raw, _ascii_vocab(s, d), words).select("raw", "term", "distance")
-
-
-# ---- fuzzy over all typos and the whole vocabulary; no SQL, as DuckDB's levenshtein counts bytes ----
-def _vocab(s, d):
-    return materialize(_index(s, d).vocab, "vocab")
-
-
-def _typos(s, d):
-    return table(s, d, "typo_pair").where("typo IS NOT NULL")
+    return fuzzy.typo_accuracy(_typos(s, d), _vocab(s, d))
 
 
-@query()
-def edit_distance_pairs_all(s, d):
-    return _typos(s, d).where("word IS NOT NULL").select("word", "typo", F.levenshtein("word", "typo").alias("distance"))
+_RESOLVED = f"""{_CLOSE}, q AS (SELECT DISTINCT typo AS raw FROM typo_pair WHERE typo IS NOT NULL),
+ r AS (SELECT raw, CASE WHEN {_SAFE} THEN raw ELSE coalesce(closest, raw) END AS term, CASE WHEN {_SAFE} OR closest = raw THEN NULL ELSE distance END AS distance FROM q LEFT JOIN close ON word = raw)"""
 
 
-@query()
-def closest_word_all(s, d):
-    return fuzzy.closest_words(_typos(s, d).select(F.col("typo").alias("word")), _vocab(s, d))
+def _resolved(s, d):
+    raw = _typos(s, d).select(F.col("typo").alias("raw")).distinct().select(F.col("raw").alias("query_id"), F.lit(0).alias("qpos"), "raw")
+    words = table(s, d, "synonym_cluster").where("word IS NOT NULL").select("word").distinct()
+    return fuzzy.resolve(raw, _vocab(s, d), words, table(s, d, "dictionary").where("found").select("term").distinct())
 
 
-@query()
-def typo_accuracy_all(s, d):
-    return fuzzy.typo_accuracy(_typos(s, d), _vocab(s, d))
+@query(f"{_RESOLVED} SELECT raw, term, distance FROM r")
+def query_resolution(s, d):
+    return _resolved(s, d).select("raw", "term", "distance")
 
 
-@query()
-def query_resolution_all(s, d):
-    raw = _typos(s, d).select(F.col("typo").alias("raw")).distinct().select(F.lit(1).alias("query_id"), F.lit(0).alias("qpos"), "raw")
-    words = table(s, d, "synonym_cluster").where("word IS NOT NULL").select("word").distinct()
-    return fuzzy.resolve(raw, _vocab(s, d), words).select("raw", "term", "distance")
+@query(f"{_RESOLVED} SELECT raw AS query_id, CASE WHEN distance IS NOT NULL THEN term END AS corrected FROM r")
+def corrected_queries(s, d):
+    """Each typo as a search of one word: what it is corrected to, if it is."""
+    return fuzzy.corrected_queries(_resolved(s, d))
 
 
 # ---- ranking ----
@@ -304,9 +292,9 @@ def search_breakdown(s, d):
     return rows.select("query_id", "doc_id", "b.term", "b.tf", "b.idf", "b.weight", "b.contribution")
 
 
-@query(f"{o.BASE}, w AS ({_Q}) SELECT query_id, term, coalesce(df, 0) AS df, CASE WHEN df IS NULL THEN 0.0 ELSE round({o.IDF}, 4) END AS idf, 1.0 AS weight FROM w LEFT JOIN vocab USING (term)")
+@query(f"{o.BASE}, w AS ({_Q}) SELECT query_id, term, coalesce(df, 0) AS df, coalesce(df, 0) AS postings_count, CASE WHEN df IS NULL THEN 0.0 ELSE round({o.IDF}, 4) END AS idf, 1.0 AS weight FROM w LEFT JOIN vocab USING (term)")
 def term_stats(s, d):
-    return rank.term_stats(_weighted(s), _index(s, d)).select("query_id", "term", "df", "idf", "weight")
+    return rank.term_stats(_weighted(s), _index(s, d)).select("query_id", "term", "df", "postings_count", "idf", "weight")
 
 
 @query(f"WITH {o.DOCS}, {o.TOKS} SELECT doc_id, title, lang, len(tokens) AS doc_length FROM toks WHERE lang = 'es' ORDER BY try_cast(doc_id AS BIGINT) NULLS LAST, doc_id LIMIT 15")
@@ -392,6 +380,79 @@ def learned_links(s, d):
     return mg.merge_links(mg.learned_links(rows.select("term"), rows))
 
 
+# ---- dictionary mining ----
+_BARE = lambda x: f"regexp_replace(lower(trim(replace(regexp_replace(coalesce({x}, ''), '<[^>]+>|\\[\\[|\\]\\]', '', 'g'), '&amp;', '&'))), '[\\x{{640}}\\x{{64b}}-\\x{{65f}}\\x{{670}}]', '', 'g')"
+_OK = lambda t, w: f"({t} <> '' AND NOT regexp_matches({t}, '[ :{{]') AND {t} <> {w} AND (length({t}) > 1 OR regexp_matches({t}, '[\\x{{4e00}}-\\x{{9fff}}]')))"
+
+
+@query(f"SELECT term, {_BARE('summary')} AS summary, {_BARE(chr(39) + '[[' + chr(39) + ' || term || ' + chr(39) + ']]' + chr(39))} AS link FROM dictionary")
+def normalized_links(s, d):
+    wrapped = F.concat(F.lit("[["), "term", F.lit("]]"))
+    return table(s, d, "dictionary").select("term", tx.normalize_link(F.col("summary")).alias("summary"), tx.normalize_link(wrapped).alias("link"))
+
+
+@query(f"SELECT term, l.term AS linked, {_OK('l.term', 'term')} AS ok FROM (SELECT term, unnest(links) AS l FROM dictionary)")
+def linkable_terms(s, d):
+    each = table(s, d, "dictionary").select("term", F.explode("links.term").alias("linked"))
+    return each.select("term", "linked", lx.acceptable(F.col("linked"), F.col("term"), []).alias("ok"))
+
+
+@query(f"""SELECT term, CASE WHEN d LIKE 'plural of %' THEN {_BARE("regexp_extract(d, '^plural of ([^ :;,()]+)', 1)")} END AS root FROM
+ (SELECT term, unnest(list_concat([coalesce(summary, '')], list_transform(inflection_roots, lambda r: 'plural of ' || r))) AS d FROM dictionary)""")
+def inflected_forms(s, d):
+    """Lemmas named by definitions: summaries, and 'plural of' each lemma the dictionary gives."""
+    made = F.concat(F.array(F.coalesce("summary", F.lit(""))), F.transform("inflection_roots", lambda r: F.concat(F.lit("plural of "), r)))
+    return table(s, d, "dictionary").select("term", F.explode(made).alias("d")).select("term", lx.inflection_root(F.col("d")).alias("root"))
+
+
+@query(f"""SELECT term, coalesce(array_to_string(list_filter(list_transform(list_filter(list_transform(string_split(array_to_string(direct_glosses, ', '), ',')[1:2], lambda p: {o.tok('p')}), lambda t: len(t) = 1), lambda t: t[1]),
+ lambda t: {_OK('t', 'term')} AND length(t) > 2), '|'), '') AS glosses FROM dictionary WHERE direct_glosses IS NOT NULL""")
+def gloss_words(s, d):
+    made = F.concat(F.array_join("direct_glosses", ", "), F.lit("; and more (in short)"))
+    rows = table(s, d, "dictionary").where("direct_glosses IS NOT NULL")
+    return rows.select("term", F.array_join(lx.glosses(made, F.col("term"), []), "|").alias("glosses"))
+
+
+_PAGE = "page AS (SELECT term, max(thesaurus_synonyms) AS syns, max(list_transform(links, lambda l: l.term)) AS names FROM dictionary WHERE complete GROUP BY term)"
+_FIRST = lambda xs: f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
+
+
+def _pages(s, d):
+    """A page of wikitext for each word, written from what the dictionary knows of it."""
+    rows = table(s, d, "dictionary").where("complete").groupBy("term").agg(F.max("thesaurus_synonyms").alias("syns"), F.max("links.term").alias("names"))
+    syn_t = F.when(F.size("syns") > 0, F.concat(F.lit("{{syn|en|"), F.array_join("syns", "|"), F.lit("|q1=old}}\n"))).otherwise("")
+    tr_t = F.array_join(F.transform("names", lambda n: F.concat(F.lit("* {{t+|es|"), n, F.lit("|m}}, {{qualifier|x}}"))), "\n")
+    text = F.concat(F.lit("==Spanish==\n{{syn|es|otro}}\n==English==\n===Noun===\n"), syn_t, F.coalesce(tr_t, F.lit("")))
+    return rows.select(F.col("term").alias("word"), F.lit("en").alias("section_lang"), text.alias("text"))
+
+
+@query(f"WITH {_PAGE}, t AS (SELECT term, list_filter(list_transform(syns, lambda s: {_BARE('s')}), lambda t: {_OK('t', 'term')} AND length(t) > 2) AS xs FROM page) SELECT term AS word, array_to_string(({_FIRST('xs')})[1:8], '|') AS synonyms FROM t WHERE len(xs) > 0")
+def page_synonyms(s, d):
+    return lx.wikitext_synonyms(_pages(s, d), []).select("word", F.array_join("synonyms", "|").alias("synonyms"))
+
+
+@query(f"WITH {_PAGE}, t AS (SELECT term, list_filter(list_transform(names, lambda s: {_BARE('s')}), lambda t: {_OK('t', 'term')}) AS xs FROM page) SELECT term AS word, array_to_string(({_FIRST('xs')})[1:3], '|') AS translations FROM t WHERE len(xs) > 0")
+def page_translations(s, d):
+    return lx.wikitext_translations(_pages(s, d), []).select("word", F.array_join("translations", "|").alias("translations"))
+
+
+@query("""SELECT term, summary, url, array_to_string(direct_glosses, '|') AS glosses, array_to_string(thesaurus_synonyms, '|') AS synonyms, found FROM (SELECT *, row_number() OVER (PARTITION BY term ORDER BY complete DESC, found DESC, summary DESC NULLS LAST, url DESC NULLS LAST, direct_glosses DESC NULLS LAST, inflection_roots DESC NULLS LAST, thesaurus_synonyms DESC NULLS LAST) AS rn FROM dictionary) WHERE rn = 1""")
+def resolved_words(s, d):
+    info = mg.resolved_info(latest_lookups(table(s, d, "dictionary")))
+    return info.select("term", "summary", "url", F.array_join("glosses", "|").alias("glosses"), F.array_join("synonyms", "|").alias("synonyms"), "found")
+
+
+@query(f"""{o.BASE}, asked AS (SELECT DISTINCT term FROM occ WHERE term IN (SELECT word FROM typo_pair)), full_rows AS (SELECT * FROM dictionary WHERE complete),
+ level1 AS (SELECT * FROM full_rows WHERE term IN (SELECT term FROM asked)), roots AS (SELECT DISTINCT unnest(inflection_roots) AS term FROM level1),
+ seen AS (SELECT * FROM level1 UNION ALL SELECT * FROM full_rows WHERE term IN (SELECT term FROM roots) AND term NOT IN (SELECT term FROM asked)), each AS (SELECT term, unnest(links) AS l FROM seen),
+ links AS (SELECT term AS a, l.term AS b, l.cost AS cost, CASE l.hub_side WHEN 'self' THEN term WHEN 'other' THEN l.term END AS hub FROM each WHERE term <> l.term),
+ """ + o.MERGED + " SELECT a, b, cost, hub FROM merged")
+def lemma_links(s, d):
+    """Links learned for the indexed words that have a typo: their own, and those of their lemmas one level down."""
+    asked = _index(s, d).vocab.join(table(s, d, "typo_pair").select(F.col("word").alias("term")), "term", "left_semi").select("term")
+    return mg.merge_links(mg.learned_links(asked, table(s, d, "dictionary").where("complete")))
+
+
 # ---- searches of records: the title and text of every record whose id is divisible by 100, against all rows ----
 _ASK = o.tok("trim(title || ' ' || text)")
 _RQ = f"SELECT query_id, unnest(tokens) AS term, CAST(1 AS DOUBLE) AS weight FROM (SELECT CAST(doc_id AS BIGINT) AS query_id, {_ASK} AS tokens FROM docs WHERE try_cast(doc_id AS BIGINT) % 100 = 0)"
@@ -427,9 +488,9 @@ def record_search_breakdown(s, d):
     return rows.select("query_id", "doc_id", "b.term", "b.tf", "b.idf", "b.weight", "b.contribution")
 
 
-@query(f"{o.BASE}, w AS ({_RQ}) SELECT query_id, term, coalesce(df, 0) AS df, CASE WHEN df IS NULL THEN 0.0 ELSE round({o.IDF}, 4) END AS idf, 1.0 AS weight FROM w LEFT JOIN vocab USING (term)")
+@query(f"{o.BASE}, w AS ({_RQ}) SELECT query_id, term, coalesce(df, 0) AS df, coalesce(df, 0) AS postings_count, CASE WHEN df IS NULL THEN 0.0 ELSE round({o.IDF}, 4) END AS idf, 1.0 AS weight FROM w LEFT JOIN vocab USING (term)")
 def record_term_stats(s, d):
-    return rank.term_stats(_record_weighted(s, d), _index(s, d)).select("query_id", "term", "df", "idf", "weight")
+    return rank.term_stats(_record_weighted(s, d), _index(s, d)).select("query_id", "term", "df", "postings_count", "idf", "weight")
 
 
 @query(f"{o.BASE}, {o.CLOSURE}, {_SYN.replace(_Q, _RQ)} {o.ranked(_SYNW)}")
@@ -460,13 +521,17 @@ def lru_replay(s, d):
     return cache.lru_stats(table(s, d, "events"), "user_id", "event_id", 50)
 
 
-@query("SELECT row_number() OVER (ORDER BY at DESC, key DESC) AS place, key FROM (SELECT user_id AS key, max(event_id) AS at FROM events WHERE user_id IS NOT NULL GROUP BY user_id) ORDER BY place LIMIT 10")
+@query("SELECT row_number() OVER (ORDER BY seen DESC, key DESC) AS place, key FROM (SELECT user_id AS key, max(event_id) AS seen FROM events WHERE user_id IS NOT NULL GROUP BY user_id) ORDER BY place LIMIT 10")
 def lru_recent_keys(s, d):
     return cache.recent_keys(table(s, d, "events"), "user_id", "event_id")
 
 
 # ---- without SQL: sequential traces and highlighting ----
-@query()
+_WORDCHAR = r"\p{L}\p{N}_\x{300}-\x{36f}\x{600}-\x{6ff}\x{750}-\x{77f}\x{8a0}-\x{8ff}\x{900}-\x{d7f}"
+
+
+@query(f"""WITH {o.DOCS}, cut AS (SELECT doc_id, CASE WHEN length(text) > 190 THEN substring(text, 1, 190) || '...' ELSE text END AS t FROM docs)
+ SELECT doc_id, replace(replace(regexp_replace(regexp_replace(t, '([^{_WORDCHAR}])', chr(1) || '\\1' || chr(1), 'g'), '(^|\x01)((?i:coffee|house|पानी))(\x01|$)', '\\1<mark>\\2</mark>\\3', 'g'), chr(1), ''), '手机', '<mark>手机</mark>') AS snippet FROM cut""")
 def highlighted(s, d):
     p = tx.highlight_pattern(["coffee", "पानी", "手机", "house"])
     return _docs(s, d).select("doc_id", tx.highlight(tx.snippet(F.col("text")), p).alias("snippet"))
