@@ -47,8 +47,8 @@ def _terms(x: str) -> str:
     return f"list_transform({tok(x)}, lambda t: regexp_replace(t, 'σ$', 'ς'))"
 
 
-RECORDS = """recs AS (SELECT try_cast(id AS BIGINT) AS id, coalesce(title, '') AS title, coalesce(text, '') AS text FROM
- (SELECT *, row_number() OVER (PARTITION BY try_cast(id AS BIGINT) ORDER BY loaded_at DESC NULLS LAST, title DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM corpus) WHERE rn = 1)"""
+LAST = """(SELECT try_cast(id AS BIGINT) AS id, title, text, row_number() OVER (PARTITION BY try_cast(id AS BIGINT) ORDER BY loaded_at DESC NULLS LAST, title DESC NULLS LAST, text DESC NULLS LAST) AS rn FROM corpus QUALIFY rn = 1)"""
+RECORDS = f"recs AS (SELECT id, coalesce(title, '') AS title, coalesce(text, '') AS text FROM {LAST})"
 PLAIN = f"plain AS MATERIALIZED (SELECT id, title, text, {_plain('title')} AS pt, {_plain('text')} AS px FROM recs)"
 BASE = f"WITH {RECORDS}, {PLAIN}"
 _CANON = lambda c: f"regexp_replace(replace(lower({c}), 'ς', 'σ'), '[\\p{{Z}}\\p{{P}}\\p{{Cc}}\\p{{Cf}}]+', '', 'g')"
@@ -63,6 +63,7 @@ _G = f"greatest(2.0 * ({' + '.join(_TWO)} - ({' + '.join(_ONE)}) + {_XLNX('t')})
 
 SQL = {
     "p1_found": f"{BASE} SELECT a.id AS id_a, b.id AS id_b FROM plain a JOIN plain b ON a.pt = b.pt AND a.px = b.px AND a.id < b.id AND (a.title <> b.title OR a.text <> b.text)",
+    "p1_plain": f"SELECT id, CASE WHEN title IS NOT NULL THEN {_plain('title')} END AS plain_title, CASE WHEN text IS NOT NULL THEN {_plain('text')} END AS plain_text FROM {LAST}",
     "p2_found": f"""{BASE}, {_USES}, n AS (SELECT term, count(*) AS n FROM uses GROUP BY term),
  best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY -round(k * ln((SELECT count(*) FROM recs) / CAST(n AS DOUBLE)), 9), term) AS rn FROM uses JOIN n USING (term))
  SELECT id, term FROM best WHERE rn = 1 AND k >= 3 AND n BETWEEN 2 AND 20""",
