@@ -48,6 +48,8 @@ LOOK_ALIKES = dict(zip(
     strict=True,
 ))
 
+#: Ranges of a character class that are looked at one after the other.
+FAN = 6
 #: Clusters that are composed together; bounds the strings built in one step.
 BLOCK = 64
 
@@ -140,12 +142,12 @@ def _ranges(cps) -> str:
             out[-1][1] = cp
         else:
             out.append([cp, cp])
-    span = lambda a, b: _x(a) + (f"-{_x(b)}" if b > a else "")
-    if len(out) <= 24:
-        return "".join(span(a, b) for a, b in out)
-    # two levels: the ranges of a group are looked at only for characters between its ends
-    groups = [out[k : k + 16] for k in range(0, len(out), 16)]
-    return "".join(f"[{span(g[0][0], g[-1][1])}&&[{''.join(span(a, b) for a, b in g)}]]" for g in groups)
+    # a tree: the ranges of a group are looked at only for characters between its ends
+    nodes = [(a, b, _x(a) + (f"-{_x(b)}" if b > a else "")) for a, b in out]
+    while len(nodes) > FAN:
+        groups = [nodes[k : k + FAN] for k in range(0, len(nodes), FAN)]
+        nodes = [(g[0][0], g[-1][1], f"[{_x(g[0][0])}-{_x(g[-1][1])}&&[{''.join(x for _, _, x in g)}]]") for g in groups]
+    return "".join(x for _, _, x in nodes)
 
 
 def mapping_table(spark: SparkSession) -> DataFrame:
