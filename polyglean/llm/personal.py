@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import base64
 import math
+import os
 import unicodedata
+import warnings
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache, lru_cache
@@ -121,6 +123,8 @@ EMAIL = regex.compile(
     r"(?:(?:[.．]|\s?[(\[{]\s?(?:dot|DOT|Dot)\s?[)\]}]\s?|\s(?:dot|DOT)\s)[\p{L}\p{N}](?:[\p{L}\p{N}\-]*[\p{L}\p{N}])?)+)"
     r"(?![\p{L}\p{N}])"
 )
+AT = regex.compile(r"[@＠]|[(\[{]\s?(?:at|AT|At)\s?[)\]}]|\s(?:at|AT)\s")
+BLANK = regex.compile(r"(?r)\s")
 _GROUP = r"(?:[A-Z]{0,5}\d+[A-Z]{0,5}(?:\d+[A-Z]{0,3})*|(?<=[\d][ \-])[A-Z](?![\p{L}])|(?<![\p{L}\p{N}])[A-Z]{1,3}(?=[ \-]\d))"
 RUN = regex.compile(rf"(?<![\p{{L}}\p{{N}}@_])[+＋]?\(?{_GROUP}(?:(?:\)[ \-]?|[ \xa0]?\(|[ \xa0.\-/‑–])\(?{_GROUP})*\)?(?![\p{{L}}\p{{M}}\p{{N}}@])")
 GROUP = regex.compile(r"[A-Z0-9\p{Nd}]+")
@@ -149,9 +153,15 @@ def _fold(w: str) -> str:
 
 @cache
 def vocabulary(paths: tuple[str, ...] = VOCABULARIES) -> tuple[frozenset[str], frozenset[str]]:
-    """(ordinary, proper): words that start a token in lower case, and those that do so capitalized only; both folded."""
+    """(ordinary, proper): words that start a token in lower case, and those that do so capitalized only; both folded.
+
+    A file that is not there is told of and left out: fewer words are then known as ordinary or proper.
+    """
     lower, upper = set(), set()
     for path in paths:
+        if not os.path.exists(path):
+            warnings.warn(f"no vocabulary at {path}", stacklevel=2)
+            continue
         with open(path, "rb") as f:
             for line in f:
                 token = base64.b64decode(line.split()[0]).decode("utf-8", "ignore")
@@ -224,10 +234,24 @@ def _number(text: str, a: int, b: int, groups: int) -> list[str]:
     return [f"s={shape}", f"d={digits}{alpha}", f"lead={lead}", f"lead={lead}{digits}", f"signs={signs}", f"g={groups}", f"ls={lead}{signs}{alpha}", f"alpha={alpha}"]
 
 
+def _emails(text: str) -> Iterator:
+    """Matches of ``EMAIL`` from left to right, sought only around what may stand for an at sign."""
+    done = 0
+    for at in AT.finditer(text, overlapped=True):
+        if at.start() < done:
+            continue
+        end = at.start() - text[at.start() - 1 : at.start()].isspace()
+        blank = BLANK.search(text, 0, end)  # the local part holds none
+        m = EMAIL.search(text, max(done, blank.end() if blank else 0), len(text)) if at.start() else None
+        if m and m.start() < at.start():
+            yield m
+            done = m.end()
+
+
 def candidates(text: str, words: Words) -> list[Segment]:
     """All candidate segments (begin, end, kind, features) of a text without zero-width characters."""
     out: list[Segment] = []
-    for m in EMAIL.finditer(text):
+    for m in _emails(text):
         at, dom = m.group("at"), m.group("d")
         mark = "@" if "@" in at or "＠" in at else "(" if regex.search(r"[(\[{]", at) else "word"
         spaced = "_" if at != at.strip() else ""
