@@ -101,12 +101,13 @@ class CopyLedger:
         own_id = F.coalesce("id", F.lit(SURROGATE) - F.pmod(F.xxhash64("key"), F.lit(1 << 62)))
         keyed.select(own_id.alias("id"), "key").write.parquet(f"{self.path}/batch-{folder}")
         keyed = self._read("id BIGINT, key STRING", [f"batch-{folder}"])
-        while new["records"] + keyed.count() > new["buckets"] * self.keys:
+        in_bucket = lambda: F.pmod(F.shiftright("id", NEAR), F.lit(new["buckets"])).cast("int")
+        sizes = dict(keyed.groupBy(in_bucket().alias("b")).count().collect())  # at most all buckets
+        while new["records"] + sum(sizes.values()) > new["buckets"] * self.keys:
             new["buckets"] *= 2
         n = F.lit(new["buckets"])
         grown = new["buckets"] != self.state["buckets"]
-        id_bucket = F.pmod(F.shiftright("id", NEAR), n).cast("int")
-        near = None if grown else [r[0] for r in keyed.select(id_bucket).distinct().collect()]  # at most all buckets
+        id_bucket, near = in_bucket(), None if grown else list(sizes)
         full = [b for b in near or [] if len(new["ids"].get(str(b), [])) >= RUNS]
 
         before = self._latest(self._ids(near)).withColumnRenamed("key", "old_key")
@@ -125,7 +126,8 @@ class CopyLedger:
         merged = delta.join(old, "key", "full_outer").select(
             "key", (F.coalesce("n", F.lit(0)) + F.coalesce("n0", F.lit(0))).alias("copies"), least.alias("id_kept")
         )
-        if went.limit(1).count():  # a group whose kept record left takes the smallest id it still has
+        fresh, moved = own.agg(F.count(F.when(F.col("old_key").isNull(), 1)), F.count("old_key")).first()
+        if moved:  # a group whose kept record left takes the smallest id it still has
             stale = went.select("key").distinct()
             still = self._latest(self._read(IDS, [f"{d}/b={b}" for b, ds in new["ids"].items() for d in ds]))
             again = still.join(stale, "key", "left_semi").groupBy("key").agg(F.min("id").alias("id1"))
@@ -135,7 +137,7 @@ class CopyLedger:
         for b in range(new["buckets"]) if touched is None else touched:
             new["entries"].pop(str(b), None)
         new["entries"] |= {str(b): name for b in written}
-        new["records"] += own.where("old_key IS NULL").count()
+        new["records"] += fresh
         self.files.put(f"manifests/{step:010d}.json", json.dumps(new))
         self.state = new
         self.files.delete(f"batch-{folder}")
