@@ -9,13 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from polyglean.operators.index import Index, idf
-from polyglean.runtime import materialize, small
+from polyglean.runtime import BROADCAST_ROWS, materialize, small
 from polyglean.sources.tables import numeric_order
 
 # Ranking weights of meaning terms by path cost, and of curated synonyms.
 MEANING_WEIGHT = {0: 0.95, 1: 0.80, 2: 0.65}
 SYNONYM_WEIGHT = 0.85
 
+#: Matches of queries and postings a partition is made for.
+MATCHES = 1_000_000
+
 
 def meaning_weight(cost: Column) -> Column:
     return F.when(cost == 0, MEANING_WEIGHT[0]).when(cost == 1, MEANING_WEIGHT[1]).otherwise(MEANING_WEIGHT[2])
@@ -54,12 +57,25 @@ def term_stats(weighted: DataFrame, index: Index) -> DataFrame:
 
 
 def _matches(weighted: DataFrame, index: Index) -> DataFrame:
-    """(query_id, qpos, term, via, doc_id, tf, idf, weight): the query side is broadcast if it is proven small."""
-    w = small(weighted)
+    """(query_id, qpos, term, via, doc_id, tf, idf, weight).
+
+    A query side counted to be small is broadcast, after the postings of its terms have been put together by document:
+    what is shuffled is a posting, not a match of each query with it, all matches of a query and a document then lie in
+    one partition, and the best rows of a query are cut there before they are shuffled. The partitions are as many as
+    the number of matches, known from the vocabulary, asks for.
+    """
     value = idf(F.col("df"), F.lit(float(index.total)))
-    terms = small(weighted.select("term").distinct())
-    known = index.vocab.select("term", "df").join(terms, "term", "left_semi")
-    return index.postings.select("term", "doc_id", "tf").join(small(known), "term").join(w, "term").withColumn("idf", value)
+    uses = weighted.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    vocab = index.vocab.select("term", "df")
+    rows, matches = uses.join(vocab, "term", "left").agg(F.sum("n"), F.sum(F.col("df") * F.col("n"))).first()
+    few = (rows or 0) <= BROADCAST_ROWS  # of the query side, and so of its terms
+    side = F.broadcast if few else lambda df: df
+    known = vocab.join(side(weighted.select("term").distinct()), "term", "left_semi")
+    hits = index.postings.select("term", "doc_id", "tf").join(side(known), "term").withColumn("idf", value)
+    if few:
+        cores = hits.sparkSession.sparkContext.defaultParallelism
+        hits = hits.repartition(max(cores, -(-(matches or 0) // MATCHES)), "doc_id")
+    return hits.join(side(weighted), "term")
 
 
 def scores(weighted: DataFrame, index: Index) -> DataFrame:
