@@ -34,6 +34,8 @@ RUN = 10
 PASSAGE = 40
 SHARD = 20_000
 BLOCK = 16
+#: Passages a task remembers the result of, so that copies are searched once.
+REMEMBERED = 20_000
 K1, B = 1.2, 0.75
 
 
@@ -189,7 +191,7 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
         index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows], run, counts, total, mean))
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix = index.value
+            ix, memo = index.value, {}
             for batch in batches:
                 ids, tokens = batch.column(0).to_pylist(), batch.column(1)
                 at = tokens.offsets.to_numpy()
@@ -199,7 +201,12 @@ def leaks(documents: DataFrame, items: DataFrame, run: int = RUN) -> DataFrame:
                     begin, end = int(at[r] - at[0]), int(at[r + 1] - at[0])
                     own = tokens.values.slice(at[r], end - begin).to_pylist()
                     for a, b in _passages(0, end - begin, places[rows == r] - begin, run):
-                        hits += [(ids[r], i, s) for i, s in ix.verified(own[a:b])]
+                        key = tuple(own[a:b])
+                        if key not in memo:
+                            if len(memo) >= REMEMBERED:
+                                memo.clear()
+                            memo[key] = ix.verified(own[a:b])
+                        hits += [(ids[r], i, s) for i, s in memo[key]]
                 cols = list(zip(*hits)) or [[], [], []]
                 kinds = (pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["doc_id", "item_id", "score"])
