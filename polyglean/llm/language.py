@@ -256,13 +256,28 @@ def _fit(bags: list[np.ndarray], labels: np.ndarray, model: Model, epochs: int,
             np.add.at(model.emb, ids, np.repeat(-lr * 4 * gx, lens, axis=0).astype(np.float32))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 30, ridge: float = 1e-2) -> np.ndarray:
-    """Weighted logistic regression by Newton's method."""
+def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 200, ridge: float = 1e-2) -> np.ndarray:
+    """Weighted logistic regression by Newton's method.
+
+    A step is halved until it lowers the loss: whole steps overshoot on some data and then never come back.
+    """
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(w @ (np.logaddexp(0.0, z) - y * z) + ridge / 2 * (b @ b))
+
     b = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
         h = (x * (w * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(b))
-        b += np.linalg.solve(h, x.T @ (w * (y - p)) - ridge * b)
+        g = x.T @ (w * (y - p)) - ridge * b
+        step = np.linalg.solve(h, g)
+        gain, now, part = float(g @ step), loss(b), 1.0
+        while part > 1e-9 and loss(b + part * step) > now - 1e-4 * part * gain:
+            part /= 2
+        if part <= 1e-9 or not gain > 1e-10:  # at the minimum, as far as numbers can tell
+            break
+        b += part * step
     return b
 
 

@@ -128,3 +128,14 @@ def test_sample_takes_whole_texts(spark):
     text = (TEXTS["en"] + ". ") * 100 + TEXTS["fr"]
     df = spark.createDataFrame([(1, "en", text)], "id bigint, lang string, plain_text string")
     assert len(text) > 2000 and lg.sample(df) == [("en", text)]
+
+
+def test_rejection_fit_ends_at_the_minimum():
+    """Data on which whole Newton steps overshoot and never come back, among others."""
+    for seed in range(30):
+        rng = np.random.default_rng(seed)
+        v = rng.lognormal(0, 2 + seed % 2, (100, 3)) * rng.choice([-1, 1], (100, 3))
+        x, y = np.concatenate([np.ones((100, 1)), v], 1), (v.sum(1) > 0) * 1.0
+        b = lg._logistic(x, y, np.ones(100))
+        slope = x.T @ (y - 1 / (1 + np.exp(-np.clip(x @ b, -500, 500)))) - 1e-2 * b
+        assert np.abs(slope).max() < 1e-3 and ((x @ b > 0) == (y > 0)).mean() > 0.95, seed
