@@ -6,6 +6,9 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from polyglean.operators import index as ix, rank
 from polyglean.plans import queries as plans
 
 TEXTS = {"1": "alpha beta", "2": "beta beta gamma", "100": "alpha alpha", "x9": "gamma alpha", "007": "", "7": "delta"}
@@ -27,3 +30,17 @@ def test_breakdown_of_every_record(spark, folder):
     got = plans.QUERIES["record_search_breakdown"](spark, folder).collect()
     assert Counter((r["query_id"], r["doc_id"], r["term"], r["tf"], r["idf"], r["contribution"]) for r in got) == want
     assert {r["weight"] for r in got} == {1.0}
+
+
+def test_matches_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(rank, "PART", 2)
+    docs = [(str(i), "", "en", " ".join(["one", "two", "two"][: 1 + i % 3])) for i in range(9)]
+    index = ix.written(spark.createDataFrame(docs, "doc_id string, title string, lang string, text string"))
+    uses = [(q, p, t, w, "exact") for q in range(3) for p, (t, w) in enumerate([("one", 1.0), ("two", 0.65), ("one", 1.0), ("none", 1.0)])]
+    weighted = spark.createDataFrame(uses, "query_id int, qpos int, term string, weight double, via string")
+    parts = rank.scores_with_breakdown(weighted, index).select("query_id", "doc_id", F.explode("breakdown").alias("b"))
+    want = parts.select("query_id", "doc_id", "b.term", "b.tf", "b.idf", "b.weight", "b.contribution")
+    got = rank.contributions(weighted, index)
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and want.count() == 3 * (9 * 2 + 6)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 2
