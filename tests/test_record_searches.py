@@ -2,13 +2,15 @@
 
 import datetime
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
-from polyglean.operators import index as ix, rank
+from polyglean.operators import best, index as ix, rank
 from polyglean.plans import queries as plans
 
 TEXTS = {"1": "alpha beta", "2": "beta beta gamma", "100": "alpha alpha", "x9": "gamma alpha", "007": "", "7": "delta"}
@@ -44,3 +46,47 @@ def test_matches_are_not_shuffled(spark, monkeypatch):
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect())) and want.count() == 3 * (9 * 2 + 6)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 2
+
+
+def collection(spark, rng):
+    words = [f"w{k}" for k in range(12)]
+    docs = [(rng.choice(["", "x"]) + str(n), "", rng.choice(["en", "fr"]), " ".join(rng.choices(words, range(1, 13), k=rng.randint(0, 6)))) for n in range(300)]
+    docs += [(None, "", "fr", "w1 w1 w1 w2 w2"), *((str(1000 + n), "", "en", "w3 w4") for n in range(100))]
+    index = ix.written(spark.createDataFrame(docs, "doc_id string, title string, lang string, text string"))
+    uses = [(f"q{q}", p, rng.choice(words), rng.choice([1.0, 1.0, 0.65]), "exact") for q in range(25) for p in range(rng.randint(1, 8))]
+    uses.append(("none", 0, "unknown", 1.0, "exact"))
+    return docs, index, uses, spark.createDataFrame(uses, "query_id string, qpos int, term string, weight double, via string")
+
+
+@pytest.mark.parametrize("lang,limit,sent,held,many", [("all", 15, 10**6, 10**6, 4096), ("fr", 5, 20, 50, 20), ("all", 0, 30, 200, 30), ("none", 3, 20, 50, 20)])
+def test_best_rows_by_blocks(spark, monkeypatch, lang, limit, sent, held, many):
+    for name, n in (("SENT", sent), ("HELD", held), ("MANY", many)):
+        monkeypatch.setattr(best, name, n)
+    docs, index, uses, weighted = collection(spark, random.Random(limit))
+    tf = [(i, d, Counter(t.split())) for i, _, d, t in docs]
+    df = Counter(t for *_, c in tf for t in c)
+    want = set()
+    for q in {u[0] for u in uses}:
+        own = [(t, w) for x, _, t, w, _ in uses if x == q]
+        scored = [(sum(c[t] * (math.log(len(docs) / (1 + df[t])) + 1) * w for t, w in own if t in c), i, d) for i, d, c in tf]
+        top = max(s for s, *_ in scored)
+        rows = [(-round(s, 9), not i.isdigit(), int(i) if i.isdigit() else 0, i, d) for s, i, d in scored if s > 0 and i is not None and lang in ("all", d)]
+        want |= {(q, k, i, d, round(-s, 4), round(100 * -s / top, 1)) for k, (s, _, _, i, d) in enumerate(sorted(rows)[: max(limit, 1)], 1)}
+    got = rank.best(weighted, index, lang, limit).collect()
+    assert {(r["query_id"], r["rank"], r["doc_id"], r["lang"], round(r["score"], 4), r["relative_score_pct"]) for r in got} == want and len(got) == len(want)
+
+
+def test_copies_in_a_cut():
+    scores = np.array([1.0, 3.0, 2.0, *[2.0] * 50, 2.0 + 1e-12, 0.0, 5.0])
+    assert best._firsts(scores, 4).tolist() == [55, 1, 53, 2, 3, 4, 5] and best._firsts(scores[-2:], 4).tolist() == [1]
+
+
+@pytest.mark.parametrize("name", ["record_search_batch"])
+def test_no_match_becomes_a_row(spark, monkeypatch, name):
+    def fail(*_):
+        raise AssertionError("matches as rows")
+
+    data = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, plans.QUERIES[name](spark, data).collect()))
+    monkeypatch.setattr(rank, "_matches", fail)
+    assert want and sorted(map(tuple, plans.QUERIES[name](spark, data).collect())) == want
