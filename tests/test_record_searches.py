@@ -48,21 +48,22 @@ def test_matches_are_not_shuffled(spark, monkeypatch):
     assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 2
 
 
-def collection(spark, rng):
+def collection(spark, rng, build):
     words = [f"w{k}" for k in range(12)]
     docs = [(rng.choice(["", "x"]) + str(n), "", rng.choice(["en", "fr"]), " ".join(rng.choices(words, range(1, 13), k=rng.randint(0, 6)))) for n in range(300)]
     docs += [(None, "", "fr", "w1 w1 w1 w2 w2"), *((str(1000 + n), "", "en", "w3 w4") for n in range(100))]
-    index = ix.written(spark.createDataFrame(docs, "doc_id string, title string, lang string, text string"))
+    index = build(spark.createDataFrame(docs, "doc_id string, title string, lang string, text string"))
     uses = [(f"q{q}", p, rng.choice(words), rng.choice([1.0, 1.0, 0.65]), "exact") for q in range(25) for p in range(rng.randint(1, 8))]
     uses.append(("none", 0, "unknown", 1.0, "exact"))
     return docs, index, uses, spark.createDataFrame(uses, "query_id string, qpos int, term string, weight double, via string")
 
 
+@pytest.mark.parametrize("build", [ix.written, ix.for_batches])
 @pytest.mark.parametrize("lang,limit,sent,held,many", [("all", 15, 10**6, 10**6, 4096), ("fr", 5, 20, 50, 20), ("all", 0, 30, 200, 30), ("none", 3, 20, 50, 20)])
-def test_best_rows_by_blocks(spark, monkeypatch, lang, limit, sent, held, many):
+def test_best_rows_by_blocks(spark, monkeypatch, lang, limit, sent, held, many, build):
     for name, n in (("SENT", sent), ("HELD", held), ("MANY", many)):
         monkeypatch.setattr(best, name, n)
-    docs, index, uses, weighted = collection(spark, random.Random(limit))
+    docs, index, uses, weighted = collection(spark, random.Random(limit), build)
     tf = [(i, d, Counter(t.split())) for i, _, d, t in docs]
     df = Counter(t for *_, c in tf for t in c)
     want = set()
@@ -76,6 +77,17 @@ def test_best_rows_by_blocks(spark, monkeypatch, lang, limit, sent, held, many):
     assert {(r["query_id"], r["rank"], r["doc_id"], r["lang"], round(r["score"], 4), r["relative_score_pct"]) for r in got} == want and len(got) == len(want)
 
 
+def test_vocabulary_of_batches(spark):
+    docs, index, *_ = collection(spark, random.Random(1), ix.for_batches)
+    rows = spark.createDataFrame(docs, "doc_id string, title string, lang string, text string")
+    same = lambda i: sorted(map(str, i.vocab.collect()))
+    assert same(index) == same(ix.written(rows)) and index.total == len(docs)
+    empty = ix.for_batches(rows.where("false"))
+    assert empty.total == 0 and empty.vocab.count() == 0
+    asked = spark.createDataFrame([(1, 0, "w1", 1.0, "exact")], "query_id int, qpos int, term string, weight double, via string")
+    assert rank.best(asked, empty).collect() == [] and rank.best(asked.where("false"), index).collect() == []
+
+
 def test_copies_in_a_cut():
     scores = np.array([1.0, 3.0, 2.0, *[2.0] * 50, 2.0 + 1e-12, 0.0, 5.0])
     assert best._firsts(scores, 4).tolist() == [55, 1, 53, 2, 3, 4, 5] and best._firsts(scores[-2:], 4).tolist() == [1]
