@@ -10,7 +10,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from polyglean.operators import best, index as ix, rank
+from polyglean.operators import best, index as ix, meaning as mg, rank
 from polyglean.plans import queries as plans
 
 TEXTS = {"1": "alpha beta", "2": "beta beta gamma", "100": "alpha alpha", "x9": "gamma alpha", "007": "", "7": "delta"}
@@ -61,7 +61,7 @@ def collection(spark, rng, build):
 @pytest.mark.parametrize("build", [ix.written, ix.for_batches])
 @pytest.mark.parametrize("lang,limit,sent,held,many", [("all", 15, 10**6, 10**6, 4096), ("fr", 5, 20, 50, 20), ("all", 0, 30, 200, 30), ("none", 3, 20, 50, 20)])
 def test_best_rows_by_blocks(spark, monkeypatch, lang, limit, sent, held, many, build):
-    for name, n in (("SENT", sent), ("HELD", held), ("MANY", many)):
+    for name, n in (("SENT", sent), ("HELD", held), ("MANY", many), ("LONG", 1 + held // 10)):
         monkeypatch.setattr(best, name, n)
     docs, index, uses, weighted = collection(spark, random.Random(limit), build)
     tf = [(i, d, Counter(t.split())) for i, _, d, t in docs]
@@ -93,7 +93,7 @@ def test_copies_in_a_cut():
     assert best._firsts(scores, 4).tolist() == [55, 1, 53, 2, 3, 4, 5] and best._firsts(scores[-2:], 4).tolist() == [1]
 
 
-@pytest.mark.parametrize("name", ["record_search_batch", "record_search_lang_filtered", "record_synonym_weighted_search"])
+@pytest.mark.parametrize("name", ["record_search_batch", "record_search_lang_filtered", "record_synonym_weighted_search", "record_meaning_weighted_search"])
 def test_no_match_becomes_a_row(spark, monkeypatch, name):
     def fail(*_):
         raise AssertionError("matches as rows")
@@ -102,3 +102,24 @@ def test_no_match_becomes_a_row(spark, monkeypatch, name):
     want = sorted(map(tuple, plans.QUERIES[name](spark, data).collect()))
     monkeypatch.setattr(rank, "_matches", fail)
     assert want and sorted(map(tuple, plans.QUERIES[name](spark, data).collect())) == want
+
+
+def test_meanings_of_queries_by_components(spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(40)]
+    links = set()
+    for _ in range(60):
+        a, b = rng.sample(words, 2)
+        links.add((a, b, rng.choice([0, 1, 1, 1]), rng.choice([a, b, None])))
+    merged = mg.merge_links(spark.createDataFrame(sorted(links, key=str), "a string, b string, cost int, hub string"))
+    uses = [(q, p, rng.choice([*words, "far"])) for q in range(30) for p in range(rng.randint(1, 4))]
+    terms = spark.createDataFrame(uses, "query_id int, qpos int, term string")
+    vocab = spark.createDataFrame([(w,) for w in [*words[:25], "far"]], "term string")
+    want = mg.expand_queries(terms, merged, vocab).select("query_id", "term", "cost").collect()
+    near = spark.createDataFrame([(q, rng.choice(words)) for q in range(30) for _ in range(3)], "query_id int, term string")
+    means = mg.reach_queries(terms, merged, vocab)
+    got = means.join(terms, ["query_id", "term"], "left_anti").collect()
+    weights = rank.term_weights(terms, vocab, means, near).groupBy("query_id", "term").agg(F.sum("weight").alias("weight"))
+    indexed = lambda w: sorted(map(tuple, w.join(vocab, "term", "left_semi").select("query_id", "term", "weight").collect()))
+    assert indexed(rank.summed_weights(terms, means, near)) == indexed(weights)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r["cost"] for r in got} == {0, 1, 2}
