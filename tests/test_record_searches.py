@@ -93,7 +93,7 @@ def test_copies_in_a_cut():
     assert best._firsts(scores, 4).tolist() == [55, 1, 53, 2, 3, 4, 5] and best._firsts(scores[-2:], 4).tolist() == [1]
 
 
-@pytest.mark.parametrize("name", ["record_search_batch", "record_search_lang_filtered", "record_synonym_weighted_search", "record_meaning_weighted_search"])
+@pytest.mark.parametrize("name", ["record_search_batch", "record_search_lang_filtered", "record_synonym_weighted_search", "record_meaning_weighted_search", "record_full_search"])
 def test_no_match_becomes_a_row(spark, monkeypatch, name):
     def fail(*_):
         raise AssertionError("matches as rows")
